@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pharos.llm import decontaminate
+from pharos.llm import decontaminate, jaccard_join
 
 QUERIES = {
+    "op9_ngram_jaccard_join": jaccard_join.query,
     "op10_benchmark_decontamination": decontaminate.query,
 }
 SQL = {
+    "op9_ngram_jaccard_join": jaccard_join.SQL,
     "op10_benchmark_decontamination": decontaminate.SQL,
 }
