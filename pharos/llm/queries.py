@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pharos.llm import decontaminate, jaccard_join
+from pharos.llm import decontaminate, jaccard_join, suffix_dedup
 
 QUERIES = {
+    "op1_suffix_array_dedup": suffix_dedup.query,
     "op9_ngram_jaccard_join": jaccard_join.query,
     "op10_benchmark_decontamination": decontaminate.query,
 }
 SQL = {
+    "op1_suffix_array_dedup": suffix_dedup.SQL,
     "op9_ngram_jaccard_join": jaccard_join.SQL,
     "op10_benchmark_decontamination": decontaminate.SQL,
 }
