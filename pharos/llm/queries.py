@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pharos.llm import decontaminate, jaccard_join, suffix_dedup
+from pharos.llm import bpe, decontaminate, jaccard_join, suffix_dedup, token_blocks
 
 QUERIES = {
+    "op5_byte_level_bpe": bpe.query,
+    "op7_token_blocks": token_blocks.query,
     "op1_suffix_array_dedup": suffix_dedup.query,
     "op9_ngram_jaccard_join": jaccard_join.query,
     "op10_benchmark_decontamination": decontaminate.query,
