@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pharos.llm import bpe, decontaminate, jaccard_join, langid, pii, suffix_dedup, token_blocks
+from pharos.llm import bpe, decontaminate, jaccard_join, langid, pii, suffix_dedup, token_blocks, toxicity
 
 QUERIES = {
+    "op6_toxicity": toxicity.query,
     "op8_pii_crf": pii.query,
     "op2_language_id": langid.query,
     "op5_byte_level_bpe": bpe.query,
