@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pharos.llm import bpe, decontaminate, jaccard_join, langid, pii, suffix_dedup, token_blocks, toxicity
+from pharos.llm import ann, bpe, decontaminate, jaccard_join, langid, pii, suffix_dedup, token_blocks, toxicity, url_filter
 
 QUERIES = {
+    "op3_approximate_nearest_neighbours": ann.query,
+    "op4_url_filter": url_filter.query,
     "op6_toxicity": toxicity.query,
     "op8_pii_crf": pii.query,
     "op2_language_id": langid.query,
