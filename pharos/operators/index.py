@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pharos.functions import tokenizer as Z
+from pharos.functions.times import epoch, is_time
 
 MAX_DISTANCE = 7
 
@@ -88,6 +89,17 @@ def _leaves(kind: T.DataType, path: tuple[str, ...] = ()) -> list[tuple[tuple[st
     return [(path, kind)]
 
 
+def _facet_value(name: str, element: T.DataType):
+    number = is_time(element) or isinstance(element, T.NumericType)
+
+    def value(x: Column) -> Column:
+        num = epoch(x, element) if is_time(element) else x.cast("double") if number else F.lit(None).cast("double")
+        text = F.lit(None).cast("string") if number else x.cast("string")
+        return F.struct(F.lit(name).alias("field"), num.alias("num"), F.lower(F.trim(text)).alias("norm"), text.alias("orig"))
+
+    return value
+
+
 def facets(df: DataFrame, names: list[str], key: str = "doc_id") -> DataFrame:
     """Values of the named fields and of what is nested below them; numbers and times are ``num``, other
     scalars ``norm`` (trimmed, lower case) with an original spelling; nulls and maps have none."""
@@ -101,13 +113,7 @@ def facets(df: DataFrame, names: list[str], key: str = "doc_id") -> DataFrame:
         values = column if isinstance(kind, T.ArrayType) else F.array(column)
         if isinstance(element, (T.StructType, T.MapType, T.ArrayType)):
             continue
-
-        def value(x: Column, name: str = name, element: T.DataType = element) -> Column:
-            number = F.unix_micros(x) / 1e6 if isinstance(element, T.TimestampType) else x.cast("double") if isinstance(element, T.NumericType) else F.lit(None).cast("double")
-            text = F.lit(None).cast("string") if isinstance(element, (T.NumericType, T.TimestampType)) else x.cast("string")
-            return F.struct(F.lit(name).alias("field"), number.alias("num"), F.lower(F.trim(text)).alias("norm"), text.alias("orig"))
-
-        rows.append(F.transform(F.filter(F.coalesce(values, F.array()), lambda x: x.isNotNull()), value))
+        rows.append(F.transform(F.filter(F.coalesce(values, F.array()), lambda x: x.isNotNull()), _facet_value(name, element)))
     if not rows:
         return df.select(F.col(key).alias("doc_id")).where("false").select("doc_id", *(F.lit(None).cast(t).alias(n) for n, t in (("field", "string"), ("num", "double"), ("norm", "string"), ("orig", "string"))))
     return df.select(F.col(key).alias("doc_id"), F.explode(F.concat(*rows)).alias("v")).select("doc_id", "v.*").where("num is null or (not isnan(num) and abs(num) < double('infinity'))")

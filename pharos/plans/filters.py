@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pharos.functions.geo import distance
+from pharos.functions.times import epoch, is_time
 
 MAX_DEPTH = 200
 RESERVED = ("AND", "OR", "NOT", "IN", "TO", "EXISTS", "_geoRadius")
@@ -330,9 +331,7 @@ def _column(df: DataFrame, name: str):
 
 def _number(x: Column, kind: T.DataType) -> Column | None:
     """Numbers and times (as epoch seconds) compare as doubles; nothing else does."""
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(x) / 1e6
-    return x.cast("double") if isinstance(kind, T.NumericType) else None
+    return epoch(x, kind) if is_time(kind) else x.cast("double") if isinstance(kind, T.NumericType) else None
 
 
 def _equals(value: str):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pharos.functions import geo
+from pharos.functions.times import is_time
 from pharos.operators import index as I
 from pharos.operators import rank as R
 from pharos.operators.distinct import distinct_hits
@@ -120,7 +121,7 @@ class Search:
     def candidates(self) -> DataFrame:
         """Matching documents with a column for each rule's bucket."""
         ix = self.index
-        docs = ix.documents.where(filters.compile(self.condition, ix.documents, set(ix.settings.filterable) | set() if self.condition is not None else None))
+        docs = ix.documents.where(filters.compile(self.condition, ix.documents, set(ix.settings.filterable)))
         tree = self.tree()
         if tree is None:
             return docs
@@ -186,7 +187,7 @@ class Search:
             return []
         array = isinstance(kind, T.ArrayType)
         element = kind.elementType if array else kind
-        return R.sort_columns(column, isinstance(element, (T.NumericType, T.TimestampType)), ascending, array)
+        return R.sort_columns(column, is_time(element) or isinstance(element, T.NumericType), ascending, array)
 
     def ranked(self) -> tuple[DataFrame, list]:
         hits = self.candidates()
