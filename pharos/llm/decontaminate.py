@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pharos.llm import textkit as T
-from pharos.runtime import ship, table
+from pharos.runtime import materialise, ship, table
 
 K, WINDOW = 5, 4
 #: Test sets up to so many bytes of text travel to each worker; larger ones are joined by shuffle.
@@ -147,7 +147,7 @@ def _large(docs: DataFrame, items: DataFrame, k: int, window: int) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """Documents that share no guaranteed span with the benchmark; all columns are kept."""
-    bad = contamination(docs, benchmark, **kw).select("doc_id").distinct()
+    bad = materialise(contamination(docs, benchmark, **kw).select("doc_id").distinct())
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
 
 
