@@ -253,7 +253,7 @@ def _filter_query(name: str, keys: str, text: str):
 
     def run(spark, sf):
         df = table(spark, sf, name)
-        return df.where(filters.compile(filters.parse(text), df)).select(*keys.split(", "))
+        return df.where(filters.compile(filters.parse(text), df, strict=False)).select(*keys.split(", "))
 
     return run
 

@@ -35,6 +35,8 @@ def text_of(column: Column, kind: T.DataType) -> Column:
 
 def tokens(df: DataFrame, fields: list[str], key: str = "doc_id", stop_words: frozenset[str] = frozenset(), exact: tuple[str, ...] = ()) -> DataFrame:
     """Words of ``fields`` (in order of importance), without a shuffle."""
+    if not fields:
+        return df.where("false").select(F.col(key).alias("doc_id"), *(F.lit(None).cast(t).alias(n) for n, t in (("fid", "int"), ("exact", "boolean"), ("pos", "int"), ("word", "string"))))
     each = F.array(
         *[
             F.struct(F.lit(i).alias("fid"), F.coalesce(text_of(F.col(f), df.schema[f].dataType), F.lit("")).alias("text"), F.lit(f in exact).alias("exact"))

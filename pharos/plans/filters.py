@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -240,6 +241,7 @@ def parse(text: str):
     """AST of a filter, None if it is blank."""
     if not text.strip():
         return None
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * MAX_DEPTH))  # a level takes a few frames
     p = _Parser(text)
     out = p.expression()
     if p.peek()[0] != "end":
@@ -267,27 +269,28 @@ def fields(node) -> set[str]:
     return {"_geo"} if isinstance(node, GeoRadius) else set()
 
 
-def compile(node, df: DataFrame, filterable: set[str] | None = None, present: dict[str, Column] | None = None) -> Column:
+def compile(node, df: DataFrame, filterable: set[str] | None = None, present: dict[str, Column] | None = None, strict: bool = True) -> Column:
     """A boolean column, never null. Fields that ``filterable`` lacks are an error; fields that ``df``
-    lacks match nothing."""
+    lacks match nothing. Without ``strict``, what isn't below a NOT may be null instead of false: the same
+    to ``where``, and plain enough to be pushed down to the scan."""
     if node is None:
         return F.lit(True)
     if filterable is not None:
         for f in sorted(fields(node)):
             if not any(f == a or f.startswith(a + ".") for a in filterable):
                 raise FilterError(f"attribute `{f}` isn't filterable; filterable are: {', '.join(sorted(filterable)) or 'none'}")
-    return _compile(node, df, present or {})
+    return _compile(node, df, present or {}, strict)
 
 
-def _compile(node, df, present) -> Column:
+def _compile(node, df, present, strict) -> Column:
     if isinstance(node, Many):
-        out = [_compile(c, df, present) for c in node.children]
+        out = [_compile(c, df, present, strict) for c in node.children]
         total = out[0]
         for c in out[1:]:
             total = total & c if node.op == "AND" else total | c
         return total
     if isinstance(node, Not):
-        return ~_compile(node.child, df, present)
+        return ~_compile(node.child, df, present, True)
     if isinstance(node, GeoRadius):
         if "_geo" not in df.columns:
             return F.lit(False)
@@ -295,19 +298,19 @@ def _compile(node, df, present) -> Column:
         # the box lets row groups be skipped; the circle decides
         reach = math.degrees(node.metres / 6_371_000) + 1e-6
         box = F.col("_geo.lat").between(node.lat - reach, node.lat + reach)
-        return F.coalesce(box & (d <= node.metres + 1e-6), F.lit(False))
+        return F.coalesce(box & (d <= node.metres + 1e-6), F.lit(False)) if strict else box & (d <= node.metres + 1e-6)
     column, kind = _column(df, node.field)
     if column is None:
         return F.lit(False) if not isinstance(node, Condition) or node.op != "!=" else F.lit(True)
     if isinstance(node, In):
         total = F.lit(False)
         for v in node.values:
-            total = total | _any(column, kind, _equals(v))
+            total = total | _any(column, kind, _equals(v), strict)
         return total
     if node.op == "EXISTS":
         return present.get(node.field, column.isNotNull())
     if node.op == "=":
-        return _any(column, kind, _equals(node.args[0]))
+        return _any(column, kind, _equals(node.args[0]), strict)
     if node.op == "!=":
         return ~_any(column, kind, _equals(node.args[0]))
     numbers = [_finite(a) for a in node.args]
@@ -317,7 +320,7 @@ def _compile(node, df, present) -> Column:
         "<": lambda x: x < numbers[0], "<=": lambda x: x <= numbers[0], ">": lambda x: x > numbers[0], ">=": lambda x: x >= numbers[0],
         "TO": lambda x: x.between(numbers[0], numbers[-1]),
     }[node.op]
-    return _any(column, kind, lambda x, t: test(_number(x, t)) if _number(x, t) is not None else F.lit(False))
+    return _any(column, kind, lambda x, t: test(_number(x, t)) if _number(x, t) is not None else F.lit(False), strict)
 
 
 def _column(df: DataFrame, name: str):
@@ -346,9 +349,9 @@ def _equals(value: str):
     return test
 
 
-def _any(column: Column, kind: T.DataType, test) -> Column:
+def _any(column: Column, kind: T.DataType, test, strict: bool = True) -> Column:
     if isinstance(kind, T.ArrayType):
         return F.coalesce(F.exists(column, lambda x: F.coalesce(test(x, kind.elementType), F.lit(False))), F.lit(False))
     if isinstance(kind, (T.StructType, T.MapType)):
         return F.lit(False)
-    return F.coalesce(test(column, kind), F.lit(False))
+    return F.coalesce(test(column, kind), F.lit(False)) if strict else test(column, kind)

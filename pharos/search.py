@@ -121,7 +121,7 @@ class Search:
     def candidates(self) -> DataFrame:
         """Matching documents with a column for each rule's bucket."""
         ix = self.index
-        docs = ix.documents.where(filters.compile(self.condition, ix.documents, set(ix.settings.filterable)))
+        docs = ix.documents.where(filters.compile(self.condition, ix.documents, set(ix.settings.filterable), strict=False))
         tree = self.tree()
         if tree is None:
             return docs
