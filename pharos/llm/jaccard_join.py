@@ -34,13 +34,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pharos.llm import textkit as T
 from pharos.runtime import materialise, partitions, release, ship, table
 
 N, THRESHOLD = 3, 0.5
+SUBSET_COST = 8
+#: Pairs that one group of a family verifies.
+PAIRS = 200_000
 _LOW = np.uint64((1 << 40) - 1)
 _BLOB = "part int, ids binary, sizes binary, counts binary, grams binary"
 
@@ -72,6 +75,11 @@ def gram_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
     return doc, h
 
 
+def _wide(spark: SparkSession) -> int:
+    """Bytes of a gram together with its shard."""
+    return 5 + (partitions(spark).bit_length() + 7) // 8
+
+
 def _runs(*keys: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal (sorted) keys."""
     if not len(keys[0]):
@@ -113,7 +121,7 @@ def gram_table(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     """One row for each document that may have a partner: its size, the length of its prefix, a hash of
     its set if no gram is unique, and its non-unique grams in the global order."""
     spark = docs.sparkSession
-    shards = partitions(spark)
+    shards, wide = partitions(spark), _wide(spark)
 
     def spread(batches):
         for b in batches:
@@ -153,13 +161,13 @@ def gram_table(docs: DataFrame, n: int, threshold: float) -> DataFrame:
             bucket = (T.mix(ids.view(np.uint64)) % np.uint64(shards)).astype(np.int64)[doc]
             order = np.lexsort((doc, bucket))
             full = (np.uint64(part) << np.uint64(40)) | grams
-            out = list(_blobs(bucket[order], ids, sizes, doc[order], full[order], 8, level[order]))
+            out = list(_blobs(bucket[order], ids, sizes, doc[order], full[order], wide, level[order]))
             for k in range(0, len(out), 64):
                 yield _batch(out[k : k + 64], ["part", "ids", "sizes", "counts", "grams", "level"])
 
     def gather(batches):
         for _, rows in _by_part(batches):
-            ids, sizes, doc, grams = load(rows, 8)
+            ids, sizes, doc, grams = load(rows, wide)
             level = np.concatenate([np.frombuffer(r[4], np.uint8) for r in rows])
             del rows
             same, back = np.unique(ids, return_inverse=True)
@@ -179,7 +187,7 @@ def gram_table(docs: DataFrame, n: int, threshold: float) -> DataFrame:
                 prefix = s - math.ceil(threshold * s - 1e-9) + 1 - (s - (b - a))
                 if prefix > 0:
                     whole = int(np.bitwise_xor.reduce(T.mix(g + np.uint64(s))).view(np.int64)) if s == b - a else None
-                    out.append((int(same[d]), s, prefix, whole, g.astype("<u8").tobytes()))
+                    out.append((int(same[d]), s, prefix, whole, _pack(g, wide)))
             for k in range(0, len(out), 1000):
                 cols = list(zip(*out[k : k + 1000], strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -196,50 +204,48 @@ def gram_table(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     )
 
 
-def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(gram, place, doc_id, size, prefix, need2) of the first ``prefix + 1`` non-unique grams of each set."""
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """(gram, place, extra, doc_id, size, p, n) of the first ``prefix + 1`` non-unique grams of each set,
+    the last being extra; ``p`` is their number, ``n`` the length of the gram's inverted list."""
+    wide = _wide(sets.sparkSession)
 
     def run(batches):
         for b in batches:
             ids, size, prefix, blobs = (b.column(i) for i in range(4))
             size, prefix = size.to_numpy(), prefix.to_numpy()
-            grams = [np.frombuffer(x, "<u8") for x in blobs.to_pylist()]
+            grams = [_unpack(x, wide) for x in blobs.to_pylist()]
             have = np.array([len(g) for g in grams], np.int64)
             take = np.minimum(prefix + 1, have)
             row = np.repeat(np.arange(len(take)), take)
             place = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
-            cols = [np.concatenate([g[:t] for g, t in zip(grams, take.tolist(), strict=True)]).view(np.int64) if len(take) else np.zeros(0, np.int64)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(cols[0]),
-                    pa.array((place + (size - have)[row]).astype(np.int32)),
-                    pa.array((place >= prefix[row])),
-                    pa.array(ids.to_numpy()[row]),
-                    pa.array(size[row]),
-                ],
-                ["gram", "place", "extra", "doc_id", "size"],
-            )
-
-    return sets.select("doc_id", "size", "prefix", "grams").mapInArrow(run, "gram bigint, place int, extra boolean, doc_id bigint, size int")
-
-
-def boundary(prefix: DataFrame, threshold: float) -> int:
+            first = np.concatenate([g[:t] for g, t in zip(grams, take.tolist(), strict=True)]) if len(take) else np.zeros(0, np.uint64)
+            cols = [first.view(np.int64), (place + (size - have)[row]).astype(np.int32), place >= prefix[row], ids.to_numpy()[row], size[row], take[row].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "place", "extra", "doc_id", "size", "p"])
+
+    rows = sets.select("doc_id", "size", "prefix", "grams").mapInArrow(run, "gram bigint, place int, extra boolean, doc_id bigint, size int, p int")
+    return rows.withColumn("n", F.count("*").over(Window.partitionBy("gram"))).where("n > 1")
+
+
+def boundary(prefix: DataFrame) -> int:
     """The largest light size: where enumerating subsets up to it and scanning lists beyond costs least.
 
+    A heavy set costs the lengths of the lists it scans. A light one costs, for each subset, moving it
+    (``SUBSET_COST`` list entries) and its meetings, for which the mean length of its lists stands.
     Costs are summed over all sets, in classes of an eighth of a power of two in size; only those few
     sums reach the driver.
     """
-    lists = prefix.where("not extra").groupBy("gram").agg(F.count("*").alias("n"))
-    kind = F.floor(F.log2("size") * 8)
-    scan = prefix.where("not extra").join(lists, "gram").groupBy(kind.alias("k")).agg(F.sum("n").alias("scan"))
-    each = prefix.groupBy("doc_id", "size").agg(F.count("*").alias("p"))
-    enum = each.groupBy(kind.alias("k")).agg(F.sum(F.expr("p * (p - 1) / 2")).alias("enum"), F.max("size").alias("top"))
-    rows = sorted((r["k"], r["enum"] or 0, r["scan"] or 0, r["top"]) for r in enum.join(scan, "k", "left").collect())
-    best, light = sum(r[2] for r in rows), 0
+    rows = (
+        prefix.groupBy(F.floor(F.log2("size") * 8).alias("k"))
+        .agg(F.sum(F.expr(f"(p - 1) / 2 * ({SUBSET_COST} + n)")).alias("enum"), F.sum(F.when(~F.col("extra"), F.col("n"))).alias("scan"), F.max("size").alias("top"))
+        .orderBy("k")
+        .collect()
+    )
+    scan = [r["scan"] or 0 for r in rows]
+    best, light = sum(scan), 0
     for i, r in enumerate(rows):
-        cost = sum(x[1] for x in rows[: i + 1]) + sum(x[2] for x in rows[i + 1 :])
+        cost = sum(x["enum"] for x in rows[: i + 1]) + sum(scan[i + 1 :])
         if cost < best:
-            best, light = cost, r[3]
+            best, light = cost, r["top"]
     return light
 
 
@@ -254,12 +260,11 @@ def candidates(prefix: DataFrame, light: int, threshold: float) -> DataFrame:
         need = F.ceil((F.col(f"{a}.size") + F.col(f"{b}.size")) * (threshold / (1 + threshold)) - 1e-9)
         return low, high, need
 
-    q = p.where("heavy or not extra")
-    single = q.where("not extra")
+    single = p.where("not extra")
     low, high, need = close("x", "y")
     rest = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
     scanned = (
-        single.where("heavy").alias("x")
+        (single.where("heavy") if light else single).alias("x")
         .join(single.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc_id") != F.col("y.doc_id")))
         .where((~F.col("y.heavy") | (F.col("x.doc_id") < F.col("y.doc_id"))) & (low >= high * threshold) & (rest >= need))
         .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
@@ -278,44 +283,58 @@ def candidates(prefix: DataFrame, light: int, threshold: float) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Exact Jaccard of the pairs; the sets of one ``a`` travel once, next to those of its partners."""
-    n = partitions(pairs.sparkSession)
-    s = sets.select("doc_id", "size", "grams")
-    own = pairs.select("a").distinct().join(s.withColumnRenamed("doc_id", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "size", "grams")
-    others = pairs.join(s.withColumnRenamed("doc_id", "b"), "b").select("a", "b", "size", "grams")
+    """Exact Jaccard of the pairs a < b.
+
+    Pairs go by the smallest partner of their ``a``: in a family of similar sets that is one and the same
+    set, so each set travels once for its family instead of once for each pair. Families of many pairs
+    are divided by ``a``.
+    """
+    spark = pairs.sparkSession
+    n, wide = partitions(spark), _wide(spark)
+    least = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("m"))
+    keyed = pairs.join(least, "a", "left").select(F.coalesce("m", "a").alias("key"), "a", "b")
+    many = F.ceil(F.count("*").over(Window.partitionBy("key")) / PAIRS)
+    keyed = materialise(keyed.withColumn("part", F.pmod(F.xxhash64("a"), many).cast("int")))
+    need = keyed.select("key", "part", F.col("a").alias("doc_id")).union(keyed.select("key", "part", "b")).distinct()
+    none = F.lit(None)
+    have = need.join(sets.select("doc_id", "size", "grams"), "doc_id").select("key", "part", F.col("doc_id").alias("a"), none.cast("long").alias("b"), "size", "grams")
+    asked = keyed.select("key", "part", "a", "b", none.cast("int").alias("size"), none.cast("binary").alias("grams"))
 
     def run(batches):
-        key, mine, size = None, None, 0
+        now, held = None, {}
         for batch in batches:
             out = []
-            for a, b, s, g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                g = np.sort(np.frombuffer(g, "<u8"))
+            for key, part, a, b, size, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, part) != now:
+                    now, held = (key, part), {}
                 if b is None:
-                    key, mine, size = a, g, s
+                    held[a] = (size, np.sort(_unpack(grams, wide)))
                     continue
-                assert a == key
-                at = np.searchsorted(mine, g)
-                both = int(np.count_nonzero(mine[np.minimum(at, len(mine) - 1)] == g))
-                j = both / (size + s - both)
+                (s, x), (t, y) = held[a], held[b]
+                if len(x) > len(y):
+                    x, y = y, x
+                at = np.searchsorted(y, x)
+                both = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
+                j = both / (s + t - both)
                 if j >= threshold:
                     out.append((a, b, j))
             cols = list(zip(*out, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "partner_id", "jaccard"])
 
-    both = own.unionByName(others).repartition(n, "a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    both = have.unionByName(asked).repartition(n, "key", "part").sortWithinPartitions("key", "part", F.col("b").asc_nulls_first(), "a")
     return both.mapInArrow(run, "doc_id bigint, partner_id bigint, jaccard double")
 
 
-def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """See the module's text. ``threshold`` is above 0 and at most 1."""
+def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, light: int | None = None) -> DataFrame:
+    """See the module's text. ``threshold`` is above 0 and at most 1; ``light`` overrides the boundary."""
     spark = docs.sparkSession
     ship(spark)
     sets = materialise(gram_table(docs, n, threshold))
     release(spark)
     equal = sets.where("whole is not null").groupBy("whole", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     copies = materialise(sets.select("doc_id", "size", "whole").join(equal, ["whole", "size"]).where("doc_id != rep").select("rep", "doc_id"))
-    prefix = materialise(_prefixes(sets.join(copies.select("doc_id"), "doc_id", "left_anti"), threshold))
-    pairs = materialise(candidates(prefix, boundary(prefix, threshold), threshold))
+    prefix = materialise(_prefixes(sets.join(copies.select("doc_id"), "doc_id", "left_anti")))
+    pairs = materialise(candidates(prefix, boundary(prefix) if light is None else light, threshold))
     release(spark)
     exact = copies.select(F.col("rep").alias("doc_id"), F.col("doc_id").alias("partner_id"), F.lit(1.0).alias("jaccard"))
     return _verify(pairs, sets, threshold).unionByName(exact)
@@ -343,7 +362,7 @@ def groups(pairs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
     """Of each group of similar documents the one of the smallest doc_id; repeated rows of it count once."""
-    drop = groups(similar_pairs(docs, **kw)).where("doc_id != group_id").select("doc_id")
+    drop = materialise(groups(materialise(similar_pairs(docs, **kw))).where("doc_id != group_id").select("doc_id"))
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
 
 
