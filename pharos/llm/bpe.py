@@ -22,6 +22,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ class Recursive:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self._table("merges", merges)
         self._table("vocab", words)
-        one = words.filter(pa.compute.equal(pa.compute.utf8_length(words["hex"]), 2))
+        one = words.filter(pc.equal(pc.utf8_length(words["hex"]), 2))
         self.byte = np.zeros(256, np.int32)
         self.byte[[int(h, 16) for h in one["hex"].to_pylist()]] = one["tok"].to_numpy()
 
