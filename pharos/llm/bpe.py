@@ -2,9 +2,10 @@
 
 Each task runs an in-memory DuckDB. Texts are split into pieces (``pieces.py``); each distinct piece
 becomes rows (piece, position, token), one for each byte, which a recursive query joins with the merge
-table: in every round each piece contracts the pair of least rank (at all its non-overlapping places,
-from the left: what contracting the leftmost again and again comes to, because a contraction never
-makes a pair of lower rank), until no piece has a pair that can be merged. Decoding joins tokens with
+table: in every round each piece contracts its leftmost pair of least rank, until no piece has a pair
+that can be merged. Pieces of more than ``LONG`` bytes contract that pair at all its places, from the
+left, in one round: what contracting the leftmost again and again comes to, because a contraction
+never makes a pair of lower rank. Decoding joins tokens with
 the vocabulary and aggregates their bytes in order.
 
 Result of ``encode``: ``doc_id, n_tokens, tokens`` for each row of the input, and ``round_trip``: do
@@ -33,7 +34,25 @@ TOKENIZERS = "/opt/tokenizers"
 #: Bytes of distinct pieces in one recursive query.
 CHUNK = 400_000
 
-RECURSION = """
+#: Longer pieces are contracted at all places of their best pair in a round, shorter ones at the leftmost.
+LONG = 64
+
+LEFTMOST = """
+WITH RECURSIVE bpe(w, pos, tok) USING KEY (w, pos) AS (
+  SELECT w, pos, tok FROM start
+  UNION
+  SELECT w, unnest([b.pos, b.nxt]) AS pos, unnest([b.merged, NULL]) AS tok
+  FROM (
+    SELECT x.w, arg_min({'pos': x.pos, 'nxt': x.npos, 'merged': m.merged}, m.rank * 1048576::BIGINT + x.pos) AS b
+    FROM (SELECT w, pos, tok, lead(tok) OVER line AS nxt, lead(pos) OVER line AS npos
+          FROM recurring.bpe WHERE tok IS NOT NULL AND w IN (SELECT w FROM bpe)
+          WINDOW line AS (PARTITION BY w ORDER BY pos)) x
+    JOIN merges m ON m.l = x.tok AND m.r = x.nxt
+    GROUP BY x.w))
+SELECT w, tok FROM bpe WHERE tok IS NOT NULL ORDER BY w, pos
+"""
+
+EVERYWHERE = """
 WITH RECURSIVE bpe(w, pos, tok) USING KEY (w, pos) AS (
   SELECT w, pos, tok FROM start
   UNION
@@ -99,8 +118,16 @@ class Recursive:
         self.db.unregister("incoming")
 
     def encode(self, found: list[bytes]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
         size = np.array([len(x) for x in found], np.int64)
+        out: list = [None] * len(found)
+        for query, chosen in ((LEFTMOST, np.flatnonzero(size <= LONG)), (EVERYWHERE, np.flatnonzero(size > LONG))):
+            if len(chosen):
+                for i, tokens in zip(chosen.tolist(), self._contract(query, [found[i] for i in chosen.tolist()], size[chosen]), strict=True):
+                    out[i] = tokens
+        return out
+
+    def _contract(self, query: str, found: list[bytes], size: np.ndarray) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
         part = np.cumsum(size) // self.chunk
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(found)]))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -109,7 +136,7 @@ class Recursive:
             w = np.repeat(np.arange(b - a, dtype=np.int32), n)
             pos = (np.arange(len(raw)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
             self._table("start", pa.table({"w": w, "pos": pos, "tok": self.byte[raw]}))
-            got = self.db.execute(RECURSION).fetchnumpy()
+            got = self.db.execute(query).fetchnumpy()
             out += np.split(np.asarray(got["tok"], np.int32), np.searchsorted(got["w"], np.arange(1, b - a)))
         return out
 
@@ -125,13 +152,23 @@ class Recursive:
         return out
 
 
+_kept: list[tuple[pa.Table, Recursive, P.Memo]] = []
+
+
+def _engine(merges: pa.Table, words: pa.Table) -> tuple[Recursive, P.Memo]:
+    """The database and the memo of this Python worker, kept from task to task while the merges are the same."""
+    if not _kept or not _kept[0][0].equals(merges):
+        db = Recursive(merges, words)
+        _kept[:] = [(merges, db, P.Memo(db.encode, limit=700_000))]
+    return _kept[0][1:]
+
+
 def encode(docs: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
     ship(docs.sparkSession)
     merges, words = load(tokenizers)
 
     def run(batches):
-        db = Recursive(merges, words)
-        memo = P.Memo(db.encode)
+        db, memo = _engine(merges, words)
         for b in batches:
             for j in range(0, b.num_rows, 500):
                 c = b.slice(j, 500)
@@ -156,7 +193,7 @@ def decode(encoded: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
     merges, words = load(tokenizers)
 
     def run(batches):
-        db = Recursive(merges, words)
+        db, _ = _engine(merges, words)
         for b in batches:
             lists = b.column(1)
             n = np.diff(lists.offsets.to_numpy())
