@@ -119,7 +119,8 @@ def _by_part(batches):
 
 def gram_table(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     """One row for each document that may have a partner: its size, the length of its prefix, a hash of
-    its set if no gram is unique, and its non-unique grams in the global order."""
+    its set if no gram is unique, what it would cost as a light and as a heavy set, and its non-unique
+    grams in the global order."""
     spark = docs.sparkSession
     shards, wide = partitions(spark), _wide(spark)
 
@@ -175,9 +176,10 @@ def gram_table(docs: DataFrame, n: int, threshold: float) -> DataFrame:
             np.maximum.at(size, back, sizes.astype(np.int64))
             doc = back[doc]
             order = np.lexsort((grams, level, doc))
-            doc, grams = doc[order], grams[order]
+            doc, grams, level = doc[order], grams[order], level[order]
             first = _runs(doc, grams)
-            doc, grams = doc[first], grams[first]
+            doc, grams, level = doc[first], grams[first], level[first]
+            length = 2.0 ** (level / 8)
             starts = _runs(doc)
             ends = np.append(starts[1:], len(doc))
             out = []
@@ -187,11 +189,13 @@ def gram_table(docs: DataFrame, n: int, threshold: float) -> DataFrame:
                 prefix = s - math.ceil(threshold * s - 1e-9) + 1 - (s - (b - a))
                 if prefix > 0:
                     whole = int(np.bitwise_xor.reduce(T.mix(g + np.uint64(s))).view(np.int64)) if s == b - a else None
-                    out.append((int(same[d]), s, prefix, whole, _pack(g, wide)))
+                    p, lists = min(prefix + 1, b - a), length[a : a + prefix + 1]
+                    enum = p * (p - 1) / 2 * (SUBSET_COST + float(lists.mean()))
+                    out.append((int(same[d]), s, prefix, whole, enum, float(lists[:prefix].sum()), _pack(g, wide)))
             for k in range(0, len(out), 1000):
                 cols = list(zip(*out[k : k + 1000], strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "size", "prefix", "whole", "grams"]
+                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.binary()), strict=True)], ["doc_id", "size", "prefix", "whole", "enum", "scan", "grams"]
                 )
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
@@ -200,13 +204,13 @@ def gram_table(docs: DataFrame, n: int, threshold: float) -> DataFrame:
         .repartition(shards, "part")
         .mapInArrow(count, _BLOB + ", level binary")
         .repartition(shards, "part")
-        .mapInArrow(gather, "doc_id bigint, size int, prefix int, whole bigint, grams binary")
+        .mapInArrow(gather, "doc_id bigint, size int, prefix int, whole bigint, enum double, scan double, grams binary")
     )
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """(gram, place, extra, doc_id, size, p, n) of the first ``prefix + 1`` non-unique grams of each set,
-    the last being extra; ``p`` is their number, ``n`` the length of the gram's inverted list."""
+    """(gram, before, place, doc_id, size, extra) of the first ``prefix + 1`` non-unique grams of each set,
+    the last being extra; ``before`` is a hash of the gram before it (0: none)."""
     wide = _wide(sets.sparkSession)
 
     def run(batches):
@@ -218,15 +222,16 @@ def _prefixes(sets: DataFrame) -> DataFrame:
             take = np.minimum(prefix + 1, have)
             row = np.repeat(np.arange(len(take)), take)
             place = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
-            first = np.concatenate([g[:t] for g, t in zip(grams, take.tolist(), strict=True)]) if len(take) else np.zeros(0, np.uint64)
-            cols = [first.view(np.int64), (place + (size - have)[row]).astype(np.int32), place >= prefix[row], ids.to_numpy()[row], size[row], take[row].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "place", "extra", "doc_id", "size", "p"])
+            gram = np.concatenate([g[:t] for g, t in zip(grams, take.tolist(), strict=True)]) if len(take) else np.zeros(0, np.uint64)
+            before = np.concatenate((np.zeros(min(1, len(gram)), np.uint64), T.mix(gram[:-1]) | np.uint64(1)))
+            before[place == 0] = 0
+            cols = [gram.view(np.int64), before.astype(np.uint32).view(np.int32), (place + (size - have)[row]).astype(np.int32), ids.to_numpy()[row], size[row], place >= prefix[row]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "before", "place", "doc_id", "size", "extra"])
 
-    rows = sets.select("doc_id", "size", "prefix", "grams").mapInArrow(run, "gram bigint, place int, extra boolean, doc_id bigint, size int, p int")
-    return rows.withColumn("n", F.count("*").over(Window.partitionBy("gram"))).where("n > 1")
+    return sets.select("doc_id", "size", "prefix", "grams").mapInArrow(run, "gram bigint, before int, place int, doc_id bigint, size int, extra boolean")
 
 
-def boundary(prefix: DataFrame) -> int:
+def boundary(sets: DataFrame) -> int:
     """The largest light size: where enumerating subsets up to it and scanning lists beyond costs least.
 
     A heavy set costs the lengths of the lists it scans. A light one costs, for each subset, moving it
@@ -234,45 +239,82 @@ def boundary(prefix: DataFrame) -> int:
     Costs are summed over all sets, in classes of an eighth of a power of two in size; only those few
     sums reach the driver.
     """
-    rows = (
-        prefix.groupBy(F.floor(F.log2("size") * 8).alias("k"))
-        .agg(F.sum(F.expr(f"(p - 1) / 2 * ({SUBSET_COST} + n)")).alias("enum"), F.sum(F.when(~F.col("extra"), F.col("n"))).alias("scan"), F.max("size").alias("top"))
-        .orderBy("k")
-        .collect()
-    )
-    scan = [r["scan"] or 0 for r in rows]
-    best, light = sum(scan), 0
+    rows = sets.groupBy(F.floor(F.log2("size") * 8).alias("k")).agg(F.sum("enum").alias("enum"), F.sum("scan").alias("scan"), F.max("size").alias("top")).orderBy("k").collect()
+    best, light = sum(r["scan"] for r in rows), 0
     for i, r in enumerate(rows):
-        cost = sum(x["enum"] for x in rows[: i + 1]) + sum(scan[i + 1 :])
+        cost = sum(x["enum"] for x in rows[: i + 1]) + sum(x["scan"] for x in rows[i + 1 :])
         if cost < best:
             best, light = cost, r["top"]
     return light
 
 
+#: List entries that one step of a scan pairs.
+STEP = 1 << 20
+
+
+def scan_lists(gram, before, place, doc, size, heavy, threshold: float):
+    """Pairs (a < b) of the inverted lists in these columns, sorted by gram and doc, of which one is heavy.
+
+    A pair is given at its first common gram only, as far as that can be told: where the gram before is
+    the same in both sets, the pair has met there already. (The first common gram of a pair has no such
+    gram before it, so no pair is lost; hashes of the gram before agree by chance in 2e-10 of cases.)
+    """
+    ends = np.append(_runs(gram)[1:], len(gram)) if len(gram) else np.zeros(0, np.int64)
+    last = np.repeat(ends, np.diff(np.concatenate(([0], ends))))
+    partners = last - np.arange(len(gram)) - 1  # later entries of the same list
+    done = np.cumsum(partners)
+    ratio = threshold / (1 + threshold)
+    at = 0
+    while at < len(gram):
+        to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + STEP, side="right")))
+        i = np.repeat(np.arange(at, to), partners[at:to])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(partners[at:to]) - partners[at:to], partners[at:to])
+        ok = (heavy[i] | heavy[j]) & (doc[i] != doc[j]) & ((before[i] != before[j]) | (before[i] == 0))
+        i, j = i[ok], j[ok]
+        low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        rest = np.minimum(size[i] - place[i], size[j] - place[j])
+        ok = (low >= high * threshold) & (rest >= np.ceil((low + high) * ratio - 1e-9))
+        yield doc[i[ok]], doc[j[ok]]
+        at = to
+
+
 def candidates(prefix: DataFrame, light: int, threshold: float) -> DataFrame:
     """Distinct pairs a < b that share enough of their prefixes. Sets of which one shared gram can be
     enough (``threshold * size <= 1``) count as heavy, however small."""
-    heavy = (F.col("size") > light) | (F.ceil(F.col("size") * threshold) < 2)
-    p = prefix.withColumn("heavy", heavy)
-
-    def close(a: str, b: str):
-        low, high = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
-        need = F.ceil((F.col(f"{a}.size") + F.col(f"{b}.size")) * (threshold / (1 + threshold)) - 1e-9)
-        return low, high, need
-
-    single = p.where("not extra")
-    low, high, need = close("x", "y")
-    rest = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    scanned = (
-        (single.where("heavy") if light else single).alias("x")
-        .join(single.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc_id") != F.col("y.doc_id")))
-        .where((~F.col("y.heavy") | (F.col("x.doc_id") < F.col("y.doc_id"))) & (low >= high * threshold) & (rest >= need))
-        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
-    )
+    n = partitions(prefix.sparkSession)
+
+    def scan(batches):
+        held = []
+
+        def pairs(cols):
+            gram, before, place, doc, size = cols
+            heavy = (size > light) | (np.ceil(size * threshold) < 2)
+            for a, b in scan_lists(gram, before, place, doc, size, heavy, threshold):
+                key = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            if not len(cols[0]):
+                continue
+            held = [np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols
+            if len(held[0]) < STEP // 4:
+                continue
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last list may go on
+            if cut:
+                yield from pairs([x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+        if held:
+            yield from pairs(held)
+
+    single = prefix.where("not extra").select("gram", "before", "place", "doc_id", "size")
+    scanned = single.repartition(n, "gram").sortWithinPartitions("gram", "doc_id").mapInArrow(scan, "a bigint, b bigint")
     if not light:
         return scanned.distinct()
-    grams = p.where("not heavy").groupBy("doc_id", "size").agg(F.sort_array(F.collect_list("gram")).alias("g"))
+    heavy = (F.col("size") > light) | (F.ceil(F.col("size") * threshold) < 2)
+    grams = prefix.where(~heavy).groupBy("doc_id", "size").agg(F.sort_array(F.collect_list("gram")).alias("g"))
     subsets = grams.select("doc_id", "size", F.posexplode("g").alias("i", "g1"), "g").select("doc_id", "size", "g1", F.explode(F.slice("g", F.col("i") + 2, F.size("g"))).alias("g2"))
+    low, high = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
     met = (
         subsets.alias("x")
         .join(subsets.alias("y"), (F.col("x.g1") == F.col("y.g1")) & (F.col("x.g2") == F.col("y.g2")) & (F.col("x.doc_id") < F.col("y.doc_id")))
@@ -333,11 +375,11 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, lig
     release(spark)
     equal = sets.where("whole is not null").groupBy("whole", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     copies = materialise(sets.select("doc_id", "size", "whole").join(equal, ["whole", "size"]).where("doc_id != rep").select("rep", "doc_id"))
-    prefix = materialise(_prefixes(sets.join(copies.select("doc_id"), "doc_id", "left_anti")))
-    pairs = materialise(candidates(prefix, boundary(prefix) if light is None else light, threshold))
+    single = sets.join(copies.select("doc_id"), "doc_id", "left_anti")
+    pairs = materialise(candidates(_prefixes(single), boundary(single) if light is None else light, threshold))
     release(spark)
     exact = copies.select(F.col("rep").alias("doc_id"), F.col("doc_id").alias("partner_id"), F.lit(1.0).alias("jaccard"))
-    return _verify(pairs, sets, threshold).unionByName(exact)
+    return _verify(pairs, single, threshold).unionByName(exact)
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -361,7 +403,8 @@ def groups(pairs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """Of each group of similar documents the one of the smallest doc_id; repeated rows of it count once."""
+    """Of each group of similar documents the one of the smallest doc_id. Rows of one doc_id are one
+    document, they stay or go together; rows without a doc_id stay."""
     drop = materialise(groups(materialise(similar_pairs(docs, **kw))).where("doc_id != group_id").select("doc_id"))
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
 
