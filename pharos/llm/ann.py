@@ -166,7 +166,7 @@ def nearest(vectors: DataFrame, k: int = K, coverage: float = COVERAGE, rerank:
     rank = Window.partitionBy("id").orderBy(F.desc("score"), "other")
     if n < 2:
         return spark.createDataFrame([], "vec_id bigint, neighbor_id bigint, rank int, score double")
-    top = v.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(sample)  # one row group of ids a task
+    top = v.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(sample)  # the documented bound of the sample
     fit = v.join(F.broadcast(top.select("id")), "id").orderBy("id").select("v").toPandas()["v"]
     x = np.array(fit.tolist(), np.float64)
     clusters = max(1, min(int(math.sqrt(n)), len(x) // 8))
