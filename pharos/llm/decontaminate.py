@@ -32,7 +32,7 @@ def fingerprints(df: DataFrame, key: str, k: int, window: int) -> DataFrame:
     """(key, pos, hash) of every winnowed fingerprint of column ``text``."""
 
     def run(batches):
-        for b in batches:
+        for b in T.slices(batches):
             w = T.words(b.column(1).to_pylist(), "norm")
             at, h = T.winnow(w, k, window)
             ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -110,7 +110,7 @@ def _small(docs: DataFrame, items: DataFrame, k: int, window: int) -> DataFrame:
 
     def run(batches):
         ids, ih, idoc, ipos, fps, st, places = shared.value
-        for b in batches:
+        for b in T.slices(batches):
             w = T.words(b.column(1).to_pylist(), "norm")
             at, h = T.winnow(w, k, window)
             spans = extend(w.hash, w.doc, ih, idoc, *_match(h, at, fps, st, places))
@@ -130,7 +130,7 @@ def _large(docs: DataFrame, items: DataFrame, k: int, window: int) -> DataFrame:
     )
 
     def run(batches):
-        for b in batches:
+        for b in T.slices(batches):
             w, iw = (T.words(b.column(c).to_pylist(), "norm") for c in (2, 3))
             d, i = (b.column(c) for c in (4, 5))
             n = np.diff(d.offsets.to_numpy())

@@ -45,6 +45,13 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches cut to at most ``rows`` rows: the arrays of a batch's words are many times its text."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 class Words:
     """The words of a batch of texts: ``start``/``end`` byte offsets in ``buf``, ``hash`` (64 bits),
     ``doc`` (row in the batch) and ``first`` (index of each row's first word; one more at the end)."""
