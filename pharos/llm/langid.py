@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pharos.llm.textkit import slices
 from pharos.runtime import ship, table
 
 #: Bound of the labelled sample: bytes of normalised text a language.
@@ -196,7 +197,7 @@ def accepted(docs: DataFrame, model: Model, max_bits: float = MAX_BITS) -> DataF
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in slices(batches, 1000):
             best, bits, _ = m.judge(b.column(b.schema.get_field_index("text")).to_pylist())
             yield b.filter(pa.array((best >= 0) & (np.nan_to_num(bits, nan=np.inf) <= max_bits)))
 
