@@ -174,11 +174,11 @@ def nearest(vectors: DataFrame, k: int = K, coverage: float = COVERAGE, rerank:
     visits = visits_for(fitted, x, k, coverage)
     shared = spark.sparkContext.broadcast(fitted)
     blocks = materialise(_assigned(v, shared, visits))
-    sizes = blocks.where("own").groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    sizes = blocks.where("base").groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     keyed = blocks.join(sizes, "cluster")
     salt = F.pmod(F.xxhash64("id"), "parts").cast("int")
-    base = keyed.where("own").select("cluster", salt.alias("part"), F.lit(0).alias("role"), "id", "v")
-    queries = keyed.select("cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "id", "v")
+    base = keyed.where("base").select("cluster", salt.alias("part"), F.lit(0).alias("role"), "id", "v")
+    queries = keyed.where("query").select("cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "id", "v")
 
     def search(batches):
         q = shared.value
@@ -237,22 +237,26 @@ def nearest(vectors: DataFrame, k: int = K, coverage: float = COVERAGE, rerank:
 
 
 def _assigned(v: DataFrame, shared, visits: int) -> DataFrame:
-    """(cluster, id, v, own) for each cluster that a vector visits; ``own`` marks the one that holds it."""
+    """(cluster, id, v, base, query): ``query`` marks the ``visits`` best clusters of each vector, ``base``
+    the one that holds it. Where that is none of the visited ones, its row is a further one."""
 
     def run(batches):
         q = shared.value
-        for b in batches:
-            ids, x = b.column(0).to_numpy(), _vectors(b.column(1))
-            own = q.assign(x)
-            near = np.argpartition(-(x @ q.centroids.T), visits - 1, axis=1)[:, :visits]
-            near[~(near == own[:, None]).any(1), 0] = own[~(near == own[:, None]).any(1)]  # a vector always visits its own cluster
-            row = np.repeat(np.arange(len(ids)), visits)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(near.ravel().astype(np.int32)), pa.array(ids[row], pa.int64()), b.column(1).take(pa.array(row)), pa.array(near.ravel() == own[row])],
-                ["cluster", "id", "v", "own"],
-            )
-
-    return v.mapInArrow(run, "cluster int, id bigint, v array<float>, own boolean")
+        for whole in batches:
+            for s in range(0, whole.num_rows, 512):  # each vector is repeated ``visits`` times
+                b = whole.slice(s, 512)
+                ids, x = b.column(0).to_numpy(), _vectors(b.column(1))
+                own = q.assign(x)
+                near = np.argpartition(-(x @ q.centroids.T), visits - 1, axis=1)[:, :visits]
+                apart = np.flatnonzero(~(near == own[:, None]).any(1))
+                row = np.concatenate((np.repeat(np.arange(len(ids)), visits), apart))
+                cluster = np.concatenate((near.ravel(), own[apart]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cluster.astype(np.int32)), pa.array(ids[row], pa.int64()), b.column(1).take(pa.array(row)), pa.array(cluster == own[row]), pa.array(np.arange(len(row)) < near.size)],
+                    ["cluster", "id", "v", "base", "query"],
+                )
+
+    return v.mapInArrow(run, "cluster int, id bigint, v array<float>, base boolean, query boolean")
 
 
 def exact(vectors: DataFrame, k: int = K) -> DataFrame:

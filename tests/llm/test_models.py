@@ -177,6 +177,30 @@ def test_neighbour_cases(spark):
     assert ann.nearest(df.where("false")).count() == 0 and ann.nearest(df.where("vec_id = 1")).count() == 0
 
 
+def recall(df, **kw):
+    a, b = ({(r.vec_id, r.neighbor_id) for r in x.collect()} for x in (ann.nearest(df, **kw), ann.exact(df)))
+    return len(a & b) / len(b)
+
+
+def vectors(spark, x):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+
+
+def test_own_cluster_is_stored_beside_the_visited_ones(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 16))[rng.integers(0, 40, 1500)] + rng.normal(size=(1500, 16)) * 0.3
+    x *= rng.choice([0.05, 0.3, 1.0], (1500, 1))  # short vectors lie in the middle, far from what they visit
+    q = ann.Quantiser(x, 38)
+    df = vectors(spark, x)
+    got = ann._assigned(ann.usable(df), spark.sparkContext.broadcast(q), 3).toPandas()
+    x32 = x.astype(np.float32).astype(np.float64)
+    best = np.argsort(-(x32 @ q.centroids.T), axis=1)[:, :3]
+    assert (~(best == q.assign(x32)[:, None]).any(1)).sum() > 100
+    assert set(zip(got.id[got["query"]], got.cluster[got["query"]], strict=True)) == {(i, c) for i in range(len(x)) for c in best[i]}
+    assert got[got.base].set_index("id").cluster.sort_index().tolist() == q.assign(x32).tolist()
+    assert recall(df) > 0.93
+
+
 def test_anisotropic_codes_favour_parallel_error():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(800, 16))
