@@ -6,15 +6,18 @@ quantised: pairs of dimensions with 16 codewords each, four bits a pair. Codes a
 itself: error along it changes large inner products most, so it costs more. Codebooks are trained
 under the same loss.
 
-Every vector is a query. It visits the clusters of largest inner product, as many as hold ``COVERAGE``
-of the true neighbours on the sample (few where the vectors cluster, most where they don't), scans their
+Every vector is a query. It is scored exactly against the longest vectors of the table (the square root
+of their number, at most ``BLOCK``), which can be neighbours of most queries wherever they lie. Of the
+others, it visits the clusters of largest inner product, as many as hold ``COVERAGE`` of the true
+neighbours (few where the vectors cluster, most where they don't), scans their
 four-bit codes through its own tables of partial products (two codes are one byte, so one lookup
 serves four dimensions), and the ``rerank`` best of each block are scored exactly. The ``k`` best of
-all are kept; a vector isn't its own neighbour.
+all are kept; a vector isn't its own neighbour. The visits are measured on the whole table: ``ASKED``
+vectors of least hash are scored exactly against all others, in one pass.
 
 Clusters are split into blocks of at most ``BLOCK`` vectors, so no task holds a whole large cluster;
 their number follows the square root of the number of vectors. Centroids and codebooks are fitted on
-a bounded sample (``SAMPLE`` vectors of least hash).
+a bounded sample (``SAMPLE`` vectors of least hash); they bear on speed and on what is reranked.
 
 Result: ``vec_id, neighbor_id, rank, score`` (rank from 1, float64 inner products).
 
@@ -37,8 +40,8 @@ from pharos.runtime import materialise, partitions, ship, table
 
 K, RERANK = 10, 50
 BLOCK, SAMPLE = 2048, 20_000
-#: Share of the true neighbours that the visited clusters hold, measured on the sample.
-COVERAGE = 0.97
+#: Share of the true neighbours that the visited clusters hold, and the queries by which it is measured.
+COVERAGE, ASKED = 0.97, 500
 #: Weight of the error along the vector against that across it.
 H_PARALLEL = 4.0
 
@@ -85,6 +88,8 @@ class Quantiser:
 
     def encode(self, x: np.ndarray, own: np.ndarray, sweeps: int = 2) -> np.ndarray:
         """Codes by coordinate descent on the anisotropic loss: |e|^2 + (h - 1) * (e . x / |x|)^2."""
+        if len(x) > BLOCK:  # bounds the errors of all choices that are held at once
+            return np.concatenate([self.encode(x[s : s + BLOCK], own[s : s + BLOCK], sweeps) for s in range(0, len(x), BLOCK)])
         r, u = self._split(x, own)
         n, m = r.shape[:2]
         e0 = r[:, :, None, :] - self.books[None]  # error of each choice
@@ -146,17 +151,61 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.join(F.broadcast(common), F.size("v") == F.col("d")).groupBy("id").agg(F.min("v").alias("v"))
 
 
-def visits_for(q: Quantiser, x: np.ndarray, k: int, coverage: float, queries: int = 500) -> int:
-    """Clusters to visit so that ``coverage`` of the exact k nearest of sampled queries lie in them."""
-    pick = np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int)
-    s = x[pick] @ x.T
-    s[np.arange(len(pick)), pick] = -np.inf
-    true = np.argpartition(-s, min(k, len(x) - 1) - 1, axis=1)[:, :k]
-    place = np.argsort(np.argsort(-(x[pick] @ q.centroids.T), axis=1, kind="stable"), axis=1)
-    need = np.take_along_axis(place, q.assign(x)[true], axis=1) + 1
+def visits_for(v: DataFrame, shared, asked: tuple[np.ndarray, np.ndarray], head: np.ndarray, k: int, coverage: float) -> int:
+    """Clusters to visit so that these and ``head`` (ids) hold ``coverage`` of the exact k nearest, among
+    all of ``v``, of the ``asked`` (ids, vectors)."""
+    q, both = shared.value, v.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches):
+        q, (ids, x) = shared.value, both.value
+        best = (np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0), np.int64))
+        for whole in batches:
+            for s in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(s, BLOCK)
+                other, y = b.column(0).to_numpy(), _vectors(b.column(1))
+                score = x @ y.T
+                score[ids[:, None] == other[None]] = -np.inf
+                new = (score, np.broadcast_to(other, score.shape), np.broadcast_to(q.assign(y), score.shape))
+                best = tuple(np.concatenate(p, axis=1) for p in zip(best, new, strict=True))
+                order = np.lexsort((best[1], -best[0]), axis=1)[:, :k]
+                best = tuple(np.take_along_axis(p, order, 1) for p in best)
+        ok = np.isfinite(best[0])
+        cols = [np.repeat(np.arange(len(ids)), ok.sum(1)), *(p[ok] for p in best)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["at", "score", "other", "cluster"])
+
+    rank = Window.partitionBy("at").orderBy(F.desc("score"), "other")
+    found = v.mapInArrow(run, "at bigint, score double, other bigint, cluster bigint")
+    true = found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("at", "other", "cluster").toPandas()  # asked x k rows
+    place = np.argsort(np.argsort(-(asked[1] @ q.centroids.T), axis=1, kind="stable"), axis=1)
+    need = np.where(np.isin(true["other"], head), 1, place[true["at"], true["cluster"]] + 1)
     return int(min(len(q.centroids), np.quantile(need, coverage, method="higher")))
 
 
+def _long(v: DataFrame, head, k: int) -> DataFrame:
+    """(id, other, score): the k best of the ``head`` (ids, vectors) for each vector, exactly."""
+
+    def run(batches):
+        hid, hv = head.value
+        step = max(1, (1 << 21) // hv.size)
+        for b in batches:
+            ids, x = b.column(0).to_numpy(), _vectors(b.column(1))
+            for s in range(0, len(ids), step):
+                i, w = ids[s : s + step], x[s : s + step]
+                exact = np.einsum("qd,qmd->qm", w, np.repeat(hv[None], len(w), axis=0))  # the sum of search(), so that ties are ties
+                exact[i[:, None] == hid[None]] = -np.inf
+                order = np.lexsort((np.broadcast_to(hid, exact.shape), -exact), axis=1)[:, :k]
+                exact = np.take_along_axis(exact, order, 1)
+                ok = np.isfinite(exact)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, ok.sum(1)), pa.int64()), pa.array(hid[order][ok], pa.int64()), pa.array(exact[ok], pa.float64())], ["id", "other", "score"])
+
+    return v.mapInArrow(run, "id bigint, other bigint, score double")
+
+
+def _collected(v: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    d = v.select("id", "v").toPandas()
+    return d["id"].to_numpy(np.int64), np.array(d["v"].tolist(), np.float64)
+
+
 def nearest(vectors: DataFrame, k: int = K, coverage: float = COVERAGE, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """See the module's text."""
     spark = vectors.sparkSession
@@ -171,9 +220,12 @@ def nearest(vectors: DataFrame, k: int = K, coverage: float = COVERAGE, rerank:
     x = np.array(fit.tolist(), np.float64)
     clusters = max(1, min(int(math.sqrt(n)), len(x) // 8))
     fitted = Quantiser(x, clusters)
-    visits = visits_for(fitted, x, k, coverage)
     shared = spark.sparkContext.broadcast(fitted)
-    blocks = materialise(_assigned(v, shared, visits))
+    norm = F.aggregate("v", F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))
+    head = _collected(v.orderBy(norm.desc(), "id").limit(min(BLOCK, int(math.sqrt(n)))))
+    asked = _collected(v.join(F.broadcast(top.orderBy("h", "id").limit(ASKED).select("id")), "id").orderBy("id"))
+    visits = visits_for(v, shared, asked, head[0], k, coverage)
+    blocks = materialise(_assigned(v, shared, visits, head[0]))
     sizes = blocks.where("base").groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     keyed = blocks.join(sizes, "cluster")
     salt = F.pmod(F.xxhash64("id"), "parts").cast("int")
@@ -229,16 +281,17 @@ def nearest(vectors: DataFrame, k: int = K, coverage: float = COVERAGE, rerank:
         yield from flush()
 
     both = base.unionByName(queries).repartition(partitions(spark), "cluster", "part").sortWithinPartitions("cluster", "part", "role", "id")
-    found = both.mapInArrow(search, "id bigint, other bigint, score double")
+    found = both.mapInArrow(search, "id bigint, other bigint, score double").union(_long(v, spark.sparkContext.broadcast(head), k))
     return (
         found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
         .select(F.col("id").alias("vec_id"), F.col("other").alias("neighbor_id"), "rank", "score")
     )
 
 
-def _assigned(v: DataFrame, shared, visits: int) -> DataFrame:
+def _assigned(v: DataFrame, shared, visits: int, head: np.ndarray = np.zeros(0, np.int64)) -> DataFrame:
     """(cluster, id, v, base, query): ``query`` marks the ``visits`` best clusters of each vector, ``base``
-    the one that holds it. Where that is none of the visited ones, its row is a further one."""
+    the one that holds it. Where that is none of the visited ones, its row is a further one. No cluster
+    holds the ids of ``head``."""
 
     def run(batches):
         q = shared.value
@@ -248,11 +301,12 @@ def _assigned(v: DataFrame, shared, visits: int) -> DataFrame:
                 ids, x = b.column(0).to_numpy(), _vectors(b.column(1))
                 own = q.assign(x)
                 near = np.argpartition(-(x @ q.centroids.T), visits - 1, axis=1)[:, :visits]
-                apart = np.flatnonzero(~(near == own[:, None]).any(1))
+                held = ~np.isin(ids, head)
+                apart = np.flatnonzero(held & ~(near == own[:, None]).any(1))
                 row = np.concatenate((np.repeat(np.arange(len(ids)), visits), apart))
                 cluster = np.concatenate((near.ravel(), own[apart]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cluster.astype(np.int32)), pa.array(ids[row], pa.int64()), b.column(1).take(pa.array(row)), pa.array(cluster == own[row]), pa.array(np.arange(len(row)) < near.size)],
+                    [pa.array(cluster.astype(np.int32)), pa.array(ids[row], pa.int64()), b.column(1).take(pa.array(row)), pa.array(held[row] & (cluster == own[row])), pa.array(np.arange(len(row)) < near.size)],
                     ["cluster", "id", "v", "base", "query"],
                 )
 

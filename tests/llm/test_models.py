@@ -201,6 +201,28 @@ def test_own_cluster_is_stored_beside_the_visited_ones(spark):
     assert recall(df) > 0.93
 
 
+def test_long_vectors_outside_the_sample(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(50, 16))[rng.integers(0, 50, 1500)] / 4 + rng.normal(size=(1500, 16)) * 0.08
+    x[:150] *= 17 / np.linalg.norm(x[:150], axis=1, keepdims=True) * np.linspace(0.3, 1, 150)[:, None]  # more than are scored exactly
+    assert recall(vectors(spark, x[rng.permutation(1500)]), sample=160) > 0.93
+
+
+def test_visits_are_measured_on_the_whole_table(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 8)).astype(np.float32).astype(np.float64)
+    q, asked, head = ann.Quantiser(x[:80], 10), np.arange(0, 400, 8), np.arange(5)
+    s = x[asked] @ x.T
+    s[np.arange(50), asked] = -np.inf
+    true = np.argsort(-s, axis=1)[:, :10]
+    place = np.argsort(np.argsort(-(x[asked] @ q.centroids.T), axis=1), axis=1)
+    v = ann.usable(vectors(spark, x)).repartition(3)
+    for coverage in (0.5, 0.9, 0.97):
+        visits = ann.visits_for(v, spark.sparkContext.broadcast(q), (asked, x[asked]), head, 10, coverage)
+        covered = lambda m: np.mean(np.isin(true, head) | (np.take_along_axis(place, q.assign(x)[true], 1) < m))  # noqa: B023, E731
+        assert covered(visits) >= coverage and (visits == 1 or covered(visits - 1) < coverage + 1 / true.size)
+
+
 def test_anisotropic_codes_favour_parallel_error():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(800, 16))
