@@ -19,7 +19,7 @@ returned.
 
 Result: ``doc_id < partner_id`` and ``jaccard``. A document whose set equals that of a smaller id
 appears once, with the smallest such id and 1.0; all other pairs are between these representatives.
-The full list of pairs follows by a join, while the result of n copies has n - 1 rows, not n squared.
+``all_pairs`` gives the full list of pairs from it, while the result of n copies has n - 1 rows, not n squared.
 
 Defined results: null, empty or wordless texts pair with nothing; rows without a doc_id are ignored;
 a doc_id that occurs in several rows counts as one document, with the union of their grams (so
@@ -382,6 +382,19 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, lig
     return _verify(pairs, single, threshold).unionByName(exact)
 
 
+def all_pairs(pairs: DataFrame) -> DataFrame:
+    """Every pair of documents above the threshold, in the same columns, from the result of
+    ``similar_pairs``: each document stands for all whose set equals its own."""
+    near = pairs.where("jaccard < 1")
+    copies = pairs.where("jaccard = 1").select(F.col("doc_id").alias("rep"), F.col("partner_id").alias("doc"))
+    reps = pairs.select(F.col("doc_id").alias("rep")).union(near.select("partner_id")).distinct()
+    members = materialise(copies.union(reps.select("rep", F.col("rep").alias("doc"))))
+    x, y = members.select("rep", F.col("doc").alias("x")), members.select(F.col("rep").alias("other"), F.col("doc").alias("y"))
+    equal = x.join(y, (F.col("rep") == F.col("other")) & (F.col("x") < F.col("y"))).select("x", "y", F.lit(1.0).alias("jaccard"))
+    apart = near.withColumnsRenamed({"doc_id": "rep", "partner_id": "other"}).join(x, "rep").join(y, "other").select("x", "y", "jaccard")
+    return equal.union(apart).select(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("partner_id"), "jaccard")
+
+
 def groups(pairs: DataFrame) -> DataFrame:
     """Connected components of the pairs: (doc_id, group_id), the group's smallest id.
 

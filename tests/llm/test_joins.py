@@ -67,6 +67,18 @@ def test_jaccard_repeated_rows_and_empty_tables(spark):
     assert rows(J.similar_pairs(frame(spark, [(1, None), (2, "")]))) == []
 
 
+def test_all_pairs_of_copies(spark):
+    rng = random.Random(4)
+    texts = family(3, 30)
+    texts = [(i, t) for i, (_, t) in enumerate(rng.sample([*texts, *texts[:12], *texts[:6]], 48))] + [(90, None), (91, ""), (None, texts[0][1])]
+    sets = {i: grams(t) for i, t in texts if i is not None and grams(t)}
+    share = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    want = sorted(((i, j, share(i, j)) for i in sets for j in sets if i < j and share(i, j) >= 0.5), key=repr)
+    found = J.similar_pairs(frame(spark, texts))
+    assert rows(J.all_pairs(found)) == want and len(want) > found.count()
+    assert rows(J.all_pairs(J.similar_pairs(frame(spark, [])))) == []
+
+
 def test_one_of_each_group_stays(spark):
     texts = [(5, "a b c d e f g h"), (3, "a b c d e f g h"), (9, "a b c d e f g x"), (1, "quite another text of words"), (7, None), (8, "")]
     kept = J.keep_one(frame(spark, texts))
