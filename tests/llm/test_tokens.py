@@ -128,5 +128,21 @@ def test_pipeline(spark):
     assert some and all(redacted[i] == text[i] for i in some)
 
 
+def test_pipeline_benchmark_and_tokens(spark, reference):
+    words = lambda t: "".join(c if c.isalnum() or ord(c) > 127 else " " for c in t.lower()).split()
+    spans = lambda t: {tuple(w[i : i + 8]) for w in [words(t)] for i in range(len(w) - 7)}
+    kept = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, f in corpus_pipeline.STAGES[:2]:
+        kept = corpus_pipeline.materialise(f(spark, kept, SF))
+    text = {r.doc_id: r.text for r in kept.collect()}
+    shared = set().union(*(spans(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()))
+    clean = {i for i, t in text.items() if not spans(t) & shared}
+    assert 0 < len(clean) < len(text)
+    clear = {r.doc_id: r.text for r in corpus_pipeline.without_personal_data(spark, kept, SF).collect()}
+    final = {r.doc_id: (r.n_tokens, r.tokens) for r in corpus_pipeline.run(spark, SF).collect()}
+    assert set(final) == clean
+    assert all(final[i] == (len(want), want) for i in clean for want in [reference(clear[i])])
+
+
 def test_registered_queries(spark):
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
