@@ -161,44 +161,75 @@ def test_url_filter(spark):
     assert one.probability(["x"])[0] == pytest.approx(one.prior)
 
 
-def test_neighbours(spark):
-    v = spark.read.parquet(f"{SF}/embeddings.parquet")
-    a, b = (x.toPandas() for x in (ann.nearest(v), ann.exact(v)))
-    pairs = lambda d: set(zip(d.vec_id, d.neighbor_id, strict=True))
-    assert len(pairs(a) & pairs(b)) >= 0.9 * len(pairs(b)) and len(a) == len(b)
-    assert np.allclose(a.merge(b, on=["vec_id", "neighbor_id"]).eval("score_x - score_y"), 0, atol=1e-9)
+def brute(df, k=10, every=1):
+    """The exact neighbours {(vec_id, neighbor_id, rank): score}, by numpy, of a frame without unusable rows."""
+    d = dict(sorted(tuple(r) for r in df.select("vec_id", "embedding").distinct().collect()))
+    ids, x = np.array([*d]), np.array([*d.values()], np.float64)
+    out = {}
+    for i in np.flatnonzero(ids % every == 0):
+        s = np.where(ids == ids[i], -np.inf, x @ x[i])
+        out |= {(int(ids[i]), int(ids[j]), r): float(s[j]) for r, j in enumerate(np.lexsort((ids, -s))[: min(k, len(ids) - 1)], 1)}
+    return out
+
+
+def recall(df, every=1, **kw):
+    got = {(r.vec_id, r.neighbor_id): r.score for r in ann.nearest(df, every=every, **kw).collect()}
+    want = {key[:2]: s for key, s in brute(df, every=every).items()}
+    assert len(got) == len(want) and all(abs(got[p] - want[p]) < 1e-9 for p in got.keys() & want.keys())
+    return len(got.keys() & want.keys()) / len(want)
+
+
+@pytest.mark.parametrize(("sf", "every", "rerank"), [(SF, 1, 30), ("/root/testdata/sf0.1", 10, 100), ("/root/testdata/sf0.1", 100, 60)])
+def test_neighbours(spark, sf, every, rerank):
+    assert recall(spark.read.parquet(f"{sf}/embeddings.parquet"), every=every, rerank=rerank) >= 0.93
 
 
 def test_neighbour_cases(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0]), (3, [0.0, 1.0, 0.0]), (4, None), (None, [1.0, 1.0, 1.0]), (5, [float("nan"), 0.0, 0.0]), (6, [1.0]), (7, [0.0, 0.0, 0.0]), (8, []), (9, [None, 1.0, 1.0])]
     df = spark.createDataFrame([(i, v, 0.0) for i, v in rows], "vec_id long, embedding array<float>, score double")
-    got, want = (sorted(map(tuple, x.collect())) for x in (ann.nearest(df), ann.exact(df)))
-    assert got == want and {r[0] for r in got} == {1, 2, 3, 7}
-    assert ann.nearest(df.where("false")).count() == 0 and ann.nearest(df.where("vec_id = 1")).count() == 0
-
-
-def recall(df, **kw):
-    a, b = ({(r.vec_id, r.neighbor_id) for r in x.collect()} for x in (ann.nearest(df, **kw), ann.exact(df)))
-    return len(a & b) / len(b)
+    got = {tuple(r)[:3]: r.score for r in ann.nearest(df, every=1).collect()}
+    assert got == brute(df.where("vec_id in (1, 2, 3, 7)")) and {r[0] for r in got} == {1, 2, 3, 7}
+    assert ann.nearest(df, every=1).count() == 12 and ann.nearest(df, every=7).count() == 3 and ann.nearest(df, every=11).count() == 0
+    assert ann.nearest(df.where("false"), every=1).count() == 0 and ann.nearest(df.where("vec_id = 1"), every=1).count() == 0
 
 
 def vectors(spark, x):
     return spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
 
 
-def test_own_cluster_is_stored_beside_the_visited_ones(spark):
+def test_short_vectors_far_from_what_they_visit(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(40, 16))[rng.integers(0, 40, 1500)] + rng.normal(size=(1500, 16)) * 0.3
-    x *= rng.choice([0.05, 0.3, 1.0], (1500, 1))  # short vectors lie in the middle, far from what they visit
+    x *= rng.choice([0.05, 0.3, 1.0], (1500, 1))  # short vectors lie in the middle
     q = ann.Quantiser(x, 38)
-    df = vectors(spark, x)
-    got = ann._assigned(ann.usable(df), spark.sparkContext.broadcast(q), 3).toPandas()
-    x32 = x.astype(np.float32).astype(np.float64)
+    shared = spark.sparkContext.broadcast(q)
+    v = ann.usable(vectors(spark, x))
+    got, index = ann._visits(v, shared, 3).toPandas(), ann.indexed(v, shared).toPandas()
+    x32 = x.astype(np.float32)
     best = np.argsort(-(x32 @ q.centroids.T), axis=1)[:, :3]
     assert (~(best == q.assign(x32)[:, None]).any(1)).sum() > 100
-    assert set(zip(got.id[got["query"]], got.cluster[got["query"]], strict=True)) == {(i, c) for i in range(len(x)) for c in best[i]}
-    assert got[got.base].set_index("id").cluster.sort_index().tolist() == q.assign(x32).tolist()
-    assert recall(df) > 0.93
+    assert set(zip(got.id, got.cluster, strict=True)) == {(i, c) for i in range(len(x)) for c in best[i]}
+    assert index.set_index("id").cluster.sort_index().tolist() == q.assign(x32).tolist()
+    assert recall(vectors(spark, x)) > 0.93
+
+
+def test_split_clusters_and_queries_give_the_same_scans(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 16))
+    v = ann.usable(vectors(spark, x))
+    q = ann.Quantiser(x, 3)
+    shared = spark.sparkContext.broadcast(q)
+    base, visiting = ann.indexed(v, shared).select("cluster", "id", "code"), ann._visits(v, shared, 2)
+
+    def top():
+        d = ann._scanned(base, visiting, shared, 20).toPandas()
+        d = ann._best([d["id"].to_numpy(), d["other"].to_numpy(), d["approx"].to_numpy()], 20)
+        return set(zip(d[0].tolist(), d[1].tolist(), strict=True))
+
+    whole = top()
+    for name, n in (("BLOCK", 64), ("GROUP", 100), ("HELD", 500)):
+        monkeypatch.setattr(ann, name, n)
+    assert top() == whole and len(whole) == 900 * 20
 
 
 def test_long_vectors_outside_the_sample(spark):
@@ -216,9 +247,9 @@ def test_visits_are_measured_on_the_whole_table(spark):
     s[np.arange(50), asked] = -np.inf
     true = np.argsort(-s, axis=1)[:, :10]
     place = np.argsort(np.argsort(-(x[asked] @ q.centroids.T), axis=1), axis=1)
-    v = ann.usable(vectors(spark, x)).repartition(3)
+    index = ann.indexed(ann.usable(vectors(spark, x)), spark.sparkContext.broadcast(q)).repartition(3)
     for coverage in (0.5, 0.9, 0.97):
-        visits = ann.visits_for(v, spark.sparkContext.broadcast(q), (asked, x[asked]), head, 10, coverage)
+        visits = ann.visits_for(index, spark.sparkContext.broadcast(q), (asked, x[asked].astype(np.float32)), head, 10, coverage)
         covered = lambda m: np.mean(np.isin(true, head) | (np.take_along_axis(place, q.assign(x)[true], 1) < m))  # noqa: B023, E731
         assert covered(visits) >= coverage and (visits == 1 or covered(visits - 1) < coverage + 1 / true.size)
 
