@@ -14,9 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
+#: Bytes of an Arrow batch: the executor holds one on its way to and one on its way from each worker.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, once per application."""
+    """Let Python workers import this package, once per application, and bound the batches they get where
+    the session leaves Spark's default (64 MB)."""
+    if spark.conf.get(BATCH).rstrip("b") == str(64 << 20):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
