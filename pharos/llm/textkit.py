@@ -15,6 +15,8 @@ A null text is treated as an empty one (no words).
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -45,11 +47,29 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-def slices(batches, rows: int = 500):
-    """Arrow batches cut to at most ``rows`` rows: the arrays of a batch's words are many times its text."""
+#: Bytes of text that are taken apart at once; a longer text is taken by itself.
+SLICE_BYTES = 2 << 20
+
+
+def slices(batches, rows: int = 500, size: int | None = None):
+    """Arrow batches cut to at most ``rows`` rows and ``size`` bytes of strings (or one row), since the
+    arrays of a batch's words are many times its text."""
+    size = size or SLICE_BYTES
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        weight = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                weight += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+            elif pa.types.is_list(c.type) and pa.types.is_string(c.type.value_type):
+                upto = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(c.flatten()), 0).to_numpy(zero_copy_only=False))))
+                weight += np.diff(upto[c.offsets.to_numpy() - c.offsets[0].as_py()]) if len(c) else 0
+        upto = np.cumsum(weight)
+        at = 0
+        while at < b.num_rows:
+            fits = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right"))
+            to = min(at + rows, max(fits, at + 1))
+            yield b.slice(at, to - at)
+            at = to
 
 
 class Words:

@@ -79,6 +79,72 @@ def test_all_pairs_of_copies(spark):
     assert rows(J.all_pairs(J.similar_pairs(frame(spark, [])))) == []
 
 
+def brute_classes(texts, t):
+    sets = {}
+    for i, x in texts:
+        if i is not None and grams(x):
+            sets[i] = sets.get(i, frozenset()) | grams(x)
+    near = {i: {j for j in sets if j != i and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= t} for i in sets}
+    out = []
+    for i in sets:
+        seen, todo = {i}, [i]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        if near[i]:
+            out.append((i, min(seen), len(near[i])))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize(("light", "split", "pairs"), [(None, 4096, 200_000), (0, 3, 10), (1000, 5, 7)])
+def test_classes_by_brute_force(spark, monkeypatch, light, split, pairs):
+    monkeypatch.setattr(J, "SPLIT", split)
+    monkeypatch.setattr(J, "PAIRS", pairs)
+    monkeypatch.setattr(J, "STEP", 50)
+    texts = [*family(7, 60), *((i + 200, t) for i, t in family(7, 25)), (900, None), (901, ""), (None, "w1 w2 w3"), (903, "one"), (904, "ONE!"), (905, "one two"), (906, "same " * 400), (907, "w5 " * 300 + "w6")]
+    for t in (0.5, 0.7):
+        assert rows(J.classes(frame(spark, texts), threshold=t, light=light)) == brute_classes(texts, t)
+        assert rows(J.similar_pairs(frame(spark, texts), threshold=t, light=light)) == brute_pairs(texts, t)
+
+
+def test_classes_of_repeated_rows_ties_and_empty_tables(spark):
+    texts = family(2, 12)
+    several = [*texts, *texts, (3, "another text of document three"), (50, "another text of document three")]
+    assert rows(J.classes(frame(spark, several))) == brute_classes(several, 0.5)
+    assert rows(J.classes(frame(spark, several).repartition(5, "text"))) == brute_classes(several, 0.5)
+    assert rows(J.classes(frame(spark, []))) == [] and rows(J.classes(frame(spark, [(1, None), (2, "")]))) == []
+
+
+def test_long_texts_and_a_hot_gram(spark):
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    texts = [(1, " ".join(long)), (2, " ".join(long[:40_000])), (3, " ".join(long[:20_100])), *((i, "the hot gram " + f"x{i} y{i}") for i in range(10, 400))]
+    assert rows(J.classes(frame(spark, texts))) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_light_sets_where_lists_are_long(spark):
+    rng = random.Random(9)
+    # short texts of a few common grams: lists are long, subsets of two are rare
+    grams_ = [f"a{i} b{i} c{i}" for i in range(12)]
+    texts = [(i, " ".join(rng.sample(grams_, 2) + [f"u{i}"] * (i % 2))) for i in range(300)]
+    found = J._prefixes(J.gram_table(frame(spark, texts), 3, 0.5).withColumn("n", J.F.lit(1)))
+    costs = J.costs(found, 0.5)
+    by = {}
+    for r in found.collect():
+        by.setdefault((r.doc_id, r.size), []).append(r)
+    small = {k: v for k, v in by.items() if k[1] > 2}
+    subs = {k: [(x.block, y.block) for i, x in enumerate(sorted(v, key=lambda r: r.block)) for y in sorted(v, key=lambda r: r.block)[i:] if x is not y or x.n > 1] for k, v in small.items()}
+    for size, made, met, listed in costs:
+        upto = [(k, set(s), {r.block for r in small[k] if not r.extra}) for k, s in subs.items() if k[1] <= size]
+        top = [x for x in upto if x[0][1] == size]
+        assert made == sum(len(s) for k, s in subs.items() if k[1] == size)
+        both = [(x, y) for i, x in enumerate(upto) for y in upto[i + 1 :] if x in top or y in top]
+        assert met == sum(len(x[1] & y[1]) for x, y in both) and listed == sum(len(x[2] & y[2]) for x, y in both)
+    assert J.boundary(costs) > 2  # some sets are light by cost alone
+    assert rows(J.classes(frame(spark, texts))) == brute_classes(texts, 0.5)
+
+
 def test_one_of_each_group_stays(spark):
     texts = [(5, "a b c d e f g h"), (3, "a b c d e f g h"), (9, "a b c d e f g x"), (1, "quite another text of words"), (7, None), (8, "")]
     kept = J.keep_one(frame(spark, texts))
