@@ -23,8 +23,9 @@ later occurrences alike; ``first_doc_id`` is the smallest doc_id that holds one
 are runs without ASCII white space, case kept, counted from 0.
 
 Defined results: null or empty texts and texts of fewer than ``length`` words have no window; rows
-without a doc_id are ignored; repeated rows of one doc_id and text count as one; in ties the smaller
-(doc_id, place) is first; other columns are ignored; an empty table gives an empty result.
+without a doc_id are ignored; repeated rows of one doc_id and text count as one; the distinct texts of a
+doc_id that has several are read as one text, in order and with a blank between them; in ties the
+smaller (doc_id, place) is first; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pharos.llm import textkit as T
-from pharos.runtime import materialise, partitions, release, ship, table
+from pharos.llm.frames import by_id
+from pharos.runtime import materialise, partitions, ship, table
 
 LENGTH, K = 50, 10
 #: Windows in a batch of the index family.
@@ -113,50 +115,45 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int
     spark = docs.sparkSession
     ship(spark)
     n = partitions(spark)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
+    texts = by_id(docs)[0].select("doc_id", F.array_join("texts", " ").alias("text"))
 
     def names(batches):
-        for b in batches:
-            for j in range(0, b.num_rows, 1000):
-                c = b.slice(j, 1000)
-                w = T.words(c.column(1).to_pylist())
-                _, place, name = window_names(w, k, length)
-                sel = np.flatnonzero(np.diff(place, prepend=-1))
-                ids = c.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(name[sel].view(np.int64)), pa.array(ids[w.doc[place[sel]]], pa.int64()), pa.array(w.pos()[place[sel]], pa.int32())], ["name", "doc_id", "pos"])
+        for c in T.slices(batches, 1000):
+            w = T.words(c.column(1).to_pylist())
+            _, place, name = window_names(w, k, length)
+            sel = np.flatnonzero(np.diff(place, prepend=-1))
+            ids = c.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(name[sel].view(np.int64)), pa.array(ids[w.doc[place[sel]]], pa.int64()), pa.array(w.pos()[place[sel]], pa.int32())], ["name", "doc_id", "pos"])
 
     places = materialise(texts.mapInArrow(names, "name bigint, doc_id bigint, pos int"))
     spot = F.struct("doc_id", "pos")
     repeated = places.groupBy("name").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a != b").select("name")
     marks = materialise(places.join(repeated, "name", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("marks")))
-    release(spark)
     shards = 16 * n
 
     def cut(batches):
-        for b in batches:
-            for j in range(0, b.num_rows, 500):
-                c = b.slice(j, 500)
-                ids = c.column(0).to_numpy()
-                w = T.words(c.column(1).to_pylist())
-                first, place, name = window_names(w, k, length)
-                marked = np.zeros(len(w) + 1, bool)
-                m = c.column(2)
-                row = np.repeat(np.arange(c.num_rows), np.diff(m.offsets.to_numpy()))
-                at = w.first[row] + m.flatten().to_numpy()
-                marked[at[at < w.first[row + 1]]] = True
-                sel = marked[place]
-                first, place, name = first[sel], place[sel], name[sel]
-                if not len(first):
-                    continue
-                starts = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1))))
-                ends = np.append(starts[1:], len(first)) - 1
-                code = (w.hash >> np.uint64(32)).astype(">u4")
-                a, z = first[starts], first[ends] + length
-                offsets = np.concatenate(([0], np.cumsum(z - a)))
-                flat = np.repeat(a - offsets[:-1], z - a) + np.arange(offsets[-1])
-                blob = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(code[flat].tobytes())])
-                shard = (T.mix(name[starts]) % np.uint64(shards)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ids[w.doc[a]], pa.int64()), pa.array(w.pos()[a], pa.int32()), blob], ["shard", "doc_id", "pos", "words"])
+        for c in T.slices(batches, 500):
+            ids = c.column(0).to_numpy()
+            w = T.words(c.column(1).to_pylist())
+            first, place, name = window_names(w, k, length)
+            marked = np.zeros(len(w) + 1, bool)
+            m = c.column(2)
+            row = np.repeat(np.arange(c.num_rows), np.diff(m.offsets.to_numpy()))
+            at = w.first[row] + m.flatten().to_numpy()
+            marked[at[at < w.first[row + 1]]] = True
+            sel = marked[place]
+            first, place, name = first[sel], place[sel], name[sel]
+            if not len(first):
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1))))
+            ends = np.append(starts[1:], len(first)) - 1
+            code = (w.hash >> np.uint64(32)).astype(">u4")
+            a, z = first[starts], first[ends] + length
+            offsets = np.concatenate(([0], np.cumsum(z - a)))
+            flat = np.repeat(a - offsets[:-1], z - a) + np.arange(offsets[-1])
+            blob = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(code[flat].tobytes())])
+            shard = (T.mix(name[starts]) % np.uint64(shards)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ids[w.doc[a]], pa.int64()), pa.array(w.pos()[a], pa.int32()), blob], ["shard", "doc_id", "pos", "words"])
 
     segments = texts.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(cut, "shard int, doc_id bigint, pos int, words binary")
 
@@ -213,7 +210,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-WITH w AS (SELECT DISTINCT doc_id, {T.RAW_SQL.format(text="text")} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH d AS (SELECT doc_id, string_agg(text, ' ' ORDER BY text) AS text
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) GROUP BY doc_id),
+w AS (SELECT doc_id, {T.RAW_SQL.format(text="text")} AS ws FROM d),
 win AS (
   SELECT doc_id, p, md5(array_to_string(ws[p : p + {LENGTH - 1}], ' ')) AS g
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {LENGTH - 2})) AS p FROM w)),
