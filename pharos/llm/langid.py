@@ -19,7 +19,9 @@ input, ``margin`` being the bits by which the next language is worse.
 Defined results: a null or letterless text has null ``predicted``, ``bits`` and ``margin`` and isn't
 accepted; a null doc_id or label stays null; ties go to the language whose name sorts first; repeated
 rows are judged each; other columns are ignored; an empty table stays empty. Without any labelled
-text every document is unknown and nothing is accepted. With one language the margin is null.
+text every document is unknown and nothing is accepted. With one language the margin is null. Texts
+of any length are judged whole, and may be in the labelled sample, whose bounds are ``TRAIN_BYTES``,
+``TRAIN_ROWS`` and ``TRAIN_CHARS``.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ from pharos.runtime import ship, table
 TRAIN_BYTES = 48_000
 #: And rows a language that are read for it.
 TRAIN_ROWS = 400
+#: And characters of one row, so that no text fills the sample alone.
+TRAIN_CHARS = 4000
 STRETCH = 512
 MAX_BITS = 6.0
 
@@ -149,9 +153,10 @@ class Model:
         return best, bits, margin
 
 
-def fit(labelled: DataFrame, train_bytes: int = TRAIN_BYTES, train_rows: int = TRAIN_ROWS) -> Model:
-    """From the labelled rows of the least hash of text and label, up to both bounds a language."""
-    text = labelled.select(F.col("lang").cast("string"), F.col("text").cast("string")).where("lang is not null and length(text) between 40 and 20000").withColumn("h", F.xxhash64("text", "lang"))
+def fit(labelled: DataFrame, train_bytes: int = TRAIN_BYTES, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> Model:
+    """From the labelled rows of the least hash of text and label, up to the three bounds a language. Texts
+    without a letter don't count."""
+    text = labelled.select(F.col("lang").cast("string"), F.col("text").cast("string")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text", "lang"))
     # only hashes are ranked, and each task keeps its own first ones before anything moves
     place = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
     first = text.select("lang", "h").withColumn("r", place).where(F.col("r") <= train_rows).distinct()
@@ -159,7 +164,7 @@ def fit(labelled: DataFrame, train_bytes: int = TRAIN_BYTES, train_rows: int = T
     if not last:
         return Model({})
     chosen = functools.reduce(lambda x, y: x | y, [(F.col("lang") == k) & (F.col("h") <= v) for k, v in last.items()])
-    rows = text.where(chosen).dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect()
+    rows = text.where(chosen).select("lang", "h", F.left("text", F.lit(train_chars)).alias("text")).dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect()
     samples: dict[str, bytes] = {}
     for r in rows:
         have = samples.setdefault(r["lang"], b"")
@@ -176,15 +181,13 @@ def identify(docs: DataFrame, model: Model, max_bits: float = MAX_BITS) -> DataF
 
     def run(batches):
         m = shared.value
-        for b in batches:
-            for j in range(0, b.num_rows, 2000):
-                c = b.slice(j, 2000)
-                best, bits, margin = m.judge(c.column(2).to_pylist())
-                names = [m.names[i] if i >= 0 else None for i in best.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [c.column(0), c.column(1), pa.array(names, pa.string()), pa.array(bits, mask=np.isnan(bits)), pa.array(margin, mask=np.isnan(margin)), pa.array((best >= 0) & (np.nan_to_num(bits, nan=np.inf) <= max_bits))],
-                    ["doc_id", "lang", "predicted", "bits", "margin", "accepted"],
-                )
+        for c in slices(batches, 2000):
+            best, bits, margin = m.judge(c.column(2).to_pylist())
+            names = [m.names[i] if i >= 0 else None for i in best.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [c.column(0), c.column(1), pa.array(names, pa.string()), pa.array(bits, mask=np.isnan(bits)), pa.array(margin, mask=np.isnan(margin)), pa.array((best >= 0) & (np.nan_to_num(bits, nan=np.inf) <= max_bits))],
+                ["doc_id", "lang", "predicted", "bits", "margin", "accepted"],
+            )
 
     return docs.select(F.col("doc_id").cast("long"), label, F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, lang string, predicted string, bits double, margin double, accepted boolean")
 
