@@ -11,7 +11,7 @@ no score by length.
 
 Fitting reads bounded samples: at most ``POSITIVES`` toxic and ``UNLABELLED`` other distinct texts,
 those of least hash. Scoring covers every whole text. The class prior defaults to the share of toxic
-among all labels.
+among all labelled documents.
 
 ``score`` gives ``doc_id, score, toxic`` for each row; ``toxic_documents``, the query, those that are
 toxic (score above 0).
@@ -19,7 +19,8 @@ toxic (score above 0).
 Defined results: null and empty texts score the bias; rows without a doc_id keep a null one and are
 left out of the query; repeated rows are scored each and given once by the query; a score of exactly
 0 isn't toxic; other columns are ignored; empty tables give empty results; without a confirmed
-example nothing is toxic. Labels of texts that aren't in the documents are ignored.
+example nothing is toxic. Labels of texts that aren't in the documents are ignored, and so are null
+labels, for the prior too; of several labels of a document the greatest counts.
 """
 
 from __future__ import annotations
@@ -163,9 +164,10 @@ def nnpu(positive: list[str], unlabelled: list[str], prior: float, rounds: int =
 def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Linear:
     spark = docs.sparkSession
     ship(spark)
-    marks = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
-        prior = marks.agg(F.avg(F.coalesce("toxic", F.lit(0)))).first()[0] or 0.0
+        ids = docs.select(F.col("doc_id").cast("long")).where(F.col("text").isNotNull())
+        prior = marks.join(ids, "doc_id", "left_semi").agg(F.avg("toxic")).first()[0] or 0.0
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").withColumn("h", F.xxhash64("text"))
     keyed = text.select("doc_id", "h").join(marks.where("toxic = 1"), "doc_id", "left").select(F.coalesce("toxic", F.lit(0)).alias("toxic"), "h")
     place = F.dense_rank().over(Window.partitionBy("toxic").orderBy("h"))
@@ -180,11 +182,9 @@ def score(docs: DataFrame, model: Linear) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
-            for j in range(0, b.num_rows, 1000):
-                c = b.slice(j, 1000)
-                s = shared.value.scores(c.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(s), pa.array(s > 0)], ["doc_id", "score", "toxic"])
+        for c in T.slices(batches, 1000):
+            s = shared.value.scores(c.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([c.column(0), pa.array(s), pa.array(s > 0)], ["doc_id", "score", "toxic"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, score double, toxic boolean")
 
