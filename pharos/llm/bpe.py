@@ -3,10 +3,14 @@
 Each task runs an in-memory DuckDB. Texts are split into pieces (``pieces.py``); each distinct piece
 becomes rows (piece, position, token), one for each byte, which a recursive query joins with the merge
 table: in every round each piece contracts its leftmost pair of least rank, until no piece has a pair
-that can be merged. Pieces of more than ``LONG`` bytes contract that pair at all its places, from the
-left, in one round: what contracting the leftmost again and again comes to, because a contraction
-never makes a pair of lower rank. Decoding joins tokens with
-the vocabulary and aggregates their bytes in order.
+that can be merged. Decoding joins tokens with the vocabulary and aggregates their bytes in order.
+
+The rounds of a piece grow with its length, so pieces of more than ``LONG`` bytes (scripts without blanks,
+sequences) are contracted in stretches. Tokens in a row are the encoding of their bytes if and only if
+each two neighbours are that of theirs; where two stretches meet in a pair that isn't, both are
+contracted anew as one, until no such place is left. Stretches that grow beyond ``WIDE`` bytes, as
+only periodic texts let them, contract their best pair at all its places in a round: what contracting
+the leftmost again and again comes to, because a contraction never makes a pair of lower rank.
 
 Result of ``encode``: ``doc_id, n_tokens, tokens`` for each row of the input, and ``round_trip``: do
 the tokens decode to the text?
@@ -28,14 +32,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pharos.llm import pieces as P
+from pharos.llm import textkit as T
 from pharos.runtime import ship, table
 
 TOKENIZERS = "/opt/tokenizers"
 #: Bytes of distinct pieces in one recursive query.
-CHUNK = 400_000
+CHUNK = 64_000
+#: What a Python worker's memo and its database may hold.
+MEMO_BYTES, DATABASE_MB = 48 << 20, 160
 
-#: Longer pieces are contracted at all places of their best pair in a round, shorter ones at the leftmost.
-LONG = 64
+#: Longer pieces are contracted in stretches of so many bytes; longer stretches at all places of their best pair in a round.
+LONG, WIDE = 64, 1024
+#: Pairs of tokens of which it is remembered whether they may stand side by side.
+PAIRS = 100_000
 
 LEFTMOST = """
 WITH RECURSIVE bpe(w, pos, tok) USING KEY (w, pos) AS (
@@ -105,9 +114,11 @@ class Recursive:
         import duckdb
 
         self.chunk = chunk
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{DATABASE_MB}MB", "temp_directory": ""})
         self._table("merges", merges)
         self._table("vocab", words)
+        self.bytes = {t: bytes.fromhex(h) for t, h in zip(words["tok"].to_pylist(), words["hex"].to_pylist(), strict=True)}
+        self.fit: dict[tuple[int, int], bool] = {}
         one = words.filter(pc.equal(pc.utf8_length(words["hex"]), 2))
         self.byte = np.zeros(256, np.int32)
         self.byte[[int(h, 16) for h in one["hex"].to_pylist()]] = one["tok"].to_numpy()
@@ -120,14 +131,53 @@ class Recursive:
     def encode(self, found: list[bytes]) -> list[np.ndarray]:
         size = np.array([len(x) for x in found], np.int64)
         out: list = [None] * len(found)
-        for query, chosen in ((LEFTMOST, np.flatnonzero(size <= LONG)), (EVERYWHERE, np.flatnonzero(size > LONG))):
+        for way, chosen in ((self._pieces, np.flatnonzero(size <= LONG)), (self._stretches, np.flatnonzero(size > LONG))):
+            for i, tokens in zip(chosen.tolist(), way([found[i] for i in chosen.tolist()]), strict=True):
+                out[i] = tokens
+        return out
+
+    def _pieces(self, found: list[bytes]) -> list[np.ndarray]:
+        out: list = [None] * len(found)
+        size = np.array([len(x) for x in found], np.int64)
+        for query, chosen in ((LEFTMOST, np.flatnonzero(size <= WIDE)), (EVERYWHERE, np.flatnonzero(size > WIDE))):
             if len(chosen):
-                for i, tokens in zip(chosen.tolist(), self._contract(query, [found[i] for i in chosen.tolist()], size[chosen]), strict=True):
+                for i, tokens in zip(chosen.tolist(), self._contract(query, [found[i] for i in chosen.tolist()]), strict=True):
                     out[i] = tokens
         return out
 
-    def _contract(self, query: str, found: list[bytes], size: np.ndarray) -> list[np.ndarray]:
+    def _stretches(self, found: list[bytes]) -> list[np.ndarray]:
+        owner = [i for i, x in enumerate(found) for _ in range(0, len(x), LONG)]
+        raw = [x[s : s + LONG] for x in found for s in range(0, len(x), LONG)]
+        tokens = self._pieces(raw)
+        while bad := self._unfit(owner, tokens):
+            keep, last, joined = [], -1, {}
+            for k in bad:
+                if k > last:  # not where the stretch before has just been joined
+                    joined[k], last = raw[k] + raw[k + 1], k + 1
+            new = dict(zip(joined, self._pieces([*joined.values()]), strict=True))
+            for k in range(len(raw)):
+                if k in new:
+                    raw[k], tokens[k] = joined[k], new[k]
+                if k - 1 not in new:
+                    keep.append(k)
+            owner, raw, tokens = ([x[k] for k in keep] for x in (owner, raw, tokens))
+        cuts = np.searchsorted(owner, np.arange(len(found) + 1))
+        return [np.concatenate(tokens[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def _unfit(self, owner: list[int], tokens: list[np.ndarray]) -> list[int]:
+        """Places k where the last token of stretch k and the first of the next can't stand side by side."""
+        meet = {k: (int(tokens[k][-1]), int(tokens[k + 1][0])) for k in range(len(owner) - 1) if owner[k] == owner[k + 1]}
+        if len(self.fit) > PAIRS:
+            self.fit.clear()
+        new = [*{p for p in meet.values() if p not in self.fit}]
+        got = self._pieces([self.bytes[a] + self.bytes[b] for a, b in new])
+        self.fit |= {p: x.tolist() == [*p] for p, x in zip(new, got, strict=True)}
+        return [k for k, p in meet.items() if not self.fit[p]]
+
+    def _contract(self, query: str, found: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
+        size = np.array([len(x) for x in found], np.int64)
+        self.db.execute(f"SET memory_limit = '{DATABASE_MB + int(size.max()) * 400 // 10**6}MB'")  # one longest text must fit
         part = np.cumsum(size) // self.chunk
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(found)]))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -159,7 +209,7 @@ def _engine(merges: pa.Table, words: pa.Table) -> tuple[Recursive, P.Memo]:
     """The database and the memo of this Python worker, kept from task to task while the merges are the same."""
     if not _kept or not _kept[0][0].equals(merges):
         db = Recursive(merges, words)
-        _kept[:] = [(merges, db, P.Memo(db.encode, limit=700_000))]
+        _kept[:] = [(merges, db, P.Memo(db.encode, limit=MEMO_BYTES))]
     return _kept[0][1:]
 
 
@@ -169,20 +219,18 @@ def encode(docs: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
 
     def run(batches):
         db, memo = _engine(merges, words)
-        for b in batches:
-            for j in range(0, b.num_rows, 500):
-                c = b.slice(j, 500)
-                texts = c.column(1).to_pylist()
-                p = P.pieces(texts)
-                tokens, n = memo.tokens(p)
-                counts = P.by_doc(p, n, len(texts))
-                ends = np.concatenate(([0], np.cumsum(counts)))
-                back = db.decode(np.repeat(np.arange(len(texts)), counts), tokens, len(texts))
-                same = [None if t is None else t.encode() == x for t, x in zip(texts, back, strict=True)]
-                null = np.array([t is None for t in texts], bool)
-                valid = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
-                lists = pa.Array.from_buffers(pa.list_(pa.int32()), len(texts), [valid, pa.py_buffer(ends.astype(np.int32))], children=[pa.array(tokens, pa.int32())])
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(counts.astype(np.int32), mask=null), lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "tokens", "round_trip"])
+        for c in T.slices(batches):
+            texts = c.column(1).to_pylist()
+            p = P.pieces(texts)
+            tokens, n = memo.tokens(p)
+            counts = P.by_doc(p, n, len(texts))
+            ends = np.concatenate(([0], np.cumsum(counts)))
+            back = db.decode(np.repeat(np.arange(len(texts)), counts), tokens, len(texts))
+            same = [None if t is None else t.encode() == x for t, x in zip(texts, back, strict=True)]
+            null = np.array([t is None for t in texts], bool)
+            valid = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
+            lists = pa.Array.from_buffers(pa.list_(pa.int32()), len(texts), [valid, pa.py_buffer(ends.astype(np.int32))], children=[pa.array(tokens, pa.int32())])
+            yield pa.RecordBatch.from_arrays([c.column(0), pa.array(counts.astype(np.int32), mask=null), lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "tokens", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n_tokens int, tokens array<int>, round_trip boolean")
 

@@ -76,13 +76,17 @@ def pieces(texts: list[str | None]) -> Pieces:
     return p
 
 
+#: Bytes of a piece in the memo besides its tokens: two integers, their place in the dictionary and in two arrays.
+ENTRY = 150
+
+
 class Memo:
-    """Encoded pieces of one task: each distinct piece is encoded once, until ``limit`` pieces are held.
+    """Encoded pieces of one task: each distinct piece is encoded once, until about ``limit`` bytes are held.
 
     ``encode`` takes a list of distinct pieces (bytes) and gives one list of token ids for each.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list], limit: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], list], limit: int = 64 << 20):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -94,7 +98,7 @@ class Memo:
 
     def tokens(self, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of all pieces in order, number of tokens of each piece)."""
-        if len(self.at) > self.limit:
+        if len(self.at) * ENTRY + 4 * len(self.flat) > self.limit:
             self.clear()
         uniq, first, back = np.unique(p.hash, return_index=True, return_inverse=True)
         at = self.at

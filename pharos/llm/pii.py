@@ -21,6 +21,7 @@ table gives an empty result. ``redact`` keeps all rows and columns.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 
 import numpy as np
@@ -353,13 +354,11 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     def run(batches):
         tagger = Tagger(shared.value)
-        for b in batches:
-            for j in range(0, b.num_rows, 1000):
-                c = b.slice(j, 1000)
-                ids = c.column(0).to_pylist()
-                found = list(dict.fromkeys((ids[d], s, e, k) for d, s, e, k in findings(c.column(1).to_pylist(), tagger)))
-                cols = list(zip(*found, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["doc_id", "start", "end", "kind"])
+        for c in T.slices(batches, 1000):
+            ids = c.column(0).to_pylist()
+            found = list(dict.fromkeys((ids[d], s, e, k) for d, s, e, k in findings(c.column(1).to_pylist(), tagger)))
+            cols = list(zip(*found, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["doc_id", "start", "end", "kind"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     return texts.mapInArrow(run, "doc_id bigint, start int, end int, kind string").distinct()
@@ -373,14 +372,16 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     def run(batches):
         tagger = Tagger(shared.value)
-        for b in batches:
-            for j in range(0, b.num_rows, 1000):
-                c = b.slice(j, 1000)
-                at = c.schema.get_field_index("text")
-                texts = c.column(at).to_pylist()
-                for d, s, e, k in reversed(findings(texts, tagger)):
-                    texts[d] = f"{texts[d][:s]}<{k}>{texts[d][e:]}"
-                yield c.set_column(at, c.schema.field(at), pa.array(texts, c.schema.field(at).type))
+        for c in T.slices(batches, 1000):
+            place = c.schema.get_field_index("text")
+            texts = c.column(place).to_pylist()
+            for d, found in itertools.groupby(findings(texts, tagger), lambda x: x[0]):
+                parts, at = [], 0
+                for _, s, e, k in found:
+                    parts += [texts[d][at:s], f"<{k}>"]
+                    at = e
+                texts[d] = "".join([*parts, texts[d][at:]])
+            yield c.set_column(place, c.schema.field(place), pa.array(texts, c.schema.field(place).type))
 
     out = docs.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
