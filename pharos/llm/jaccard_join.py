@@ -18,7 +18,7 @@ linked.
    meet on them; each heavy set scans the inverted lists of its prefix, which hold heavy and light sets.
    The boundary is the size at which the sum of both costs is least, from the exact numbers of subsets
    and of pairs that lists and subsets bring together, counted over all sets up to ``SMALL`` grams.
-   Long lists are divided in blocks of entries, and pairs of such blocks are paired in separate groups.
+   Long lists are divided in parts, and each two parts are paired by themselves.
 5. Each candidate pair is verified by the weights of the blocks that both sets have.
 
 ``similar_pairs`` gives ``doc_id < partner_id`` and ``jaccard``: a document whose set equals that of a
@@ -47,6 +47,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pharos.llm import textkit as T
+from pharos.llm.frames import by_id
 from pharos.runtime import materialise, partitions, ship, table
 
 N, THRESHOLD = 3, 0.5
@@ -122,15 +123,8 @@ def _blobs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
 def _plain_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, texts): the texts of each doc_id, which is unique. Its rows come in the same order whenever
     a task is run again, as the names of slices need."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
-    several = materialise(texts.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    one = texts.select("doc_id", F.array("text").alias("texts"))
-    if several.limit(1).count():
-        merged = texts.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("text").alias("texts"))
-        one = one.join(several, "doc_id", "left_anti").unionByName(merged)
-    elif "Exchange" not in docs._jdf.queryExecution().executedPlan().toString():
-        return one
-    return materialise(one)
+    one, merged = by_id(docs)
+    return materialise(one) if merged or "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else one
 
 
 def _shards(docs: DataFrame) -> int:
@@ -346,8 +340,8 @@ def boundary(found: list[tuple[int, int, int, int]]) -> int:
     return light
 
 
-#: Pairs of list entries that one step of a scan makes.
-STEP = 1 << 20
+#: Pairs of list entries that one step of a scan makes, and pairs that a task holds to find those it has already.
+STEP, POOL = 1 << 20, 1 << 22
 
 
 def scan_lists(group, side, before, place, doc, size, heavy, threshold: float):
@@ -388,14 +382,25 @@ def candidates(prefix: DataFrame, light: int, threshold: float) -> DataFrame:
     n = partitions(prefix.sparkSession)
 
     def scan(batches):
-        held = []
+        held, pool = [], []
+
+        def distinct():
+            a, b = (np.concatenate(x) for x in zip(*pool, strict=True))
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            first = _runs(a, b)
+            return a[first], b[first]
+
+        def rows(found):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
 
         def pairs(cols):
-            group, side, before, place, doc, size, heavy = cols
-            for a, b in scan_lists(group, side, before, place, doc, size, heavy, threshold):
-                if len(a):
-                    key = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1])], ["a", "b"])
+            for a, b in scan_lists(*cols, threshold):
+                pool.append((np.minimum(a, b), np.maximum(a, b)))
+                if sum(len(x) for x, _ in pool) > POOL:
+                    pool[:] = [distinct()]
+                    if len(pool[0][0]) > POOL // 2:
+                        yield rows(pool.pop())
 
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -404,21 +409,27 @@ def candidates(prefix: DataFrame, light: int, threshold: float) -> DataFrame:
             held = [np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols
             if len(held[0]) < STEP // 4:
                 continue
-            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
+            cut = int((np.flatnonzero(np.diff(held[0])) + 1).max(initial=0))  # the last group may go on
             if cut:
                 yield from pairs([x[:cut] for x in held])
                 held = [x[cut:] for x in held]
         if held:
             yield from pairs(held)
+        if pool:
+            yield rows(distinct())
 
     heavy = (F.col("size") > light) | always_heavy(threshold)
-    # the name leads with the number of documents that have the block: no list is longer
-    parts = F.ceil(F.pow(F.lit(2.0), (F.shiftrightunsigned("block", 56) + 1) / 8) / SPLIT).cast("int")
-    entries = prefix.where("not extra").select("block", "before", "place", "doc_id", "size", heavy.alias("heavy"), parts.alias("m"), F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("own"))
-    each = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    entries = prefix.where("not extra").select("block", "before", "place", "doc_id", "size", heavy.alias("heavy"))
+    # lists of one leader go to one task: a family's pairs meet in many lists, nearly all of which have its least document
+    lists = entries.groupBy("block").agg(F.min("doc_id").alias("leader"), F.ceil(F.count("*") / SPLIT).cast("int").alias("m"), F.count("*").alias("long")).where("long > 1")
+    each = entries.join(lists, "block").withColumn("own", F.pmod(F.xxhash64("doc_id"), "m").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     pair = [F.least("own", "other"), F.greatest("own", "other")]
-    grouped = each.select(F.when(F.col("m") == 1, F.col("block")).otherwise(F.xxhash64("block", *pair)).alias("group"), (F.col("own") > F.col("other")).cast("int").alias("side"), "before", "place", "doc_id", "size", "heavy")
-    scanned = grouped.repartition(n, "group").sortWithinPartitions("group", "side", F.desc("heavy")).mapInArrow(scan, "a bigint, b bigint")
+    whole = F.col("m") == 1
+    grouped = each.select(
+        F.when(whole, F.col("leader")).otherwise(F.xxhash64("leader", *pair)).alias("route"), F.when(whole, F.col("block")).otherwise(F.xxhash64("block", *pair)).alias("group"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "before", "place", "doc_id", "size", "heavy",
+    )
+    scanned = grouped.repartition(n, "route").sortWithinPartitions("route", "group", "side", F.desc("heavy")).drop("route").mapInArrow(scan, "a bigint, b bigint")
     if not light:
         return scanned.distinct()
     made = subsets(prefix.where(~heavy))
@@ -528,7 +539,7 @@ def _joined(docs: DataFrame, n: int, threshold: float, light: int | None, links:
     copies = members.where("doc_id != rep").select("rep", "doc_id")
     counted = members.where("doc_id = rep").select("doc_id", "n")
     single = sets.join(copies.select("doc_id"), "doc_id", "left_anti").join(counted, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    prefix = _prefixes(single)
+    prefix = materialise(_prefixes(single))
     pairs = materialise(candidates(prefix, boundary(costs(prefix, threshold)) if light is None else light, threshold))
     return copies, _verify(pairs, single, threshold, links)
 

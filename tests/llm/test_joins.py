@@ -127,7 +127,7 @@ def test_light_sets_where_lists_are_long(spark):
     rng = random.Random(9)
     # short texts of a few common grams: lists are long, subsets of two are rare
     grams_ = [f"a{i} b{i} c{i}" for i in range(12)]
-    texts = [(i, " ".join(rng.sample(grams_, 2) + [f"u{i}"] * (i % 2))) for i in range(300)]
+    texts = [(i, " ".join(rng.sample(grams_, 2) + [f"u{i}"] * (i % 2))) for i in range(1200)]
     found = J._prefixes(J.gram_table(frame(spark, texts), 3, 0.5).withColumn("n", J.F.lit(1)))
     costs = J.costs(found, 0.5)
     by = {}
