@@ -125,7 +125,7 @@ _SEARCHES = [
     ("rank_proximity", "documents", "worthless clown idiot ", [("worthless", False, 0), ("clown", False, 0), ("idiot", False, 0)], _LAST3, ("words", "proximity"), "last"),
     ("rank_attribute", "part", "large economy ", [("large", False, 0), ("economy", False, 0)], [[0, 1], [0]], ("words", "attribute"), "last"),
     ("rank_exactness", "part", "small ring ", [("small", False, 0), ("ring", False, 0)], [[0, 1], [0]], ("words", "exactness"), "last"),
-    ("rank_default", "part", "smal widgit ", [("smal", False, 0), ("widgit", False, 1)], [[0, 1], [0]], DEFAULT_CRITERIA, "last"),
+    ("rank_default", "part", "small widgit ", [("small", False, 1), ("widgit", False, 1)], [[0, 1], [0]], DEFAULT_CRITERIA, "last"),
     ("rank_default_documents", "documents", "stupid losers ", [("stupid", False, 1), ("losers", False, 1)], [[0, 1], [0]], DEFAULT_CRITERIA, "last"),
     ("rank_without_words_rule", "part", "large economy ", [("large", False, 1), ("economy", False, 1)], [[0, 1], [0]], ("typo", "proximity", "attribute"), "last"),
     ("matching_strategy_last", "part", "hot economy anvil ", [("hot", False, 0), ("economy", False, 0), ("anvil", False, 0)], _LAST3, ("words",), "last"),
@@ -235,7 +235,7 @@ _FILTERS = {
     "filter_in": ("orders", "o_orderkey", "o_orderpriority IN ['1-URGENT', 2-HIGH,]", "lower(o_orderpriority) IN ('1-urgent', '2-high')"),
     "filter_not_in": ("orders", "o_orderkey", "o_orderstatus NOT IN [F, o]", "lower(o_orderstatus) NOT IN ('f', 'o')"),
     "filter_exists": ("orders", "o_orderkey", "o_orderstatus EXISTS AND NOT missing EXISTS", "o_orderstatus IS NOT NULL"),
-    "filter_not_exists": ("orders", "o_orderkey", "o_orderstatus NOT EXISTS OR missing = 3", "o_orderstatus IS NULL"),
+    "filter_not_exists": ("orders", "o_orderkey", "o_orderstatus NOT EXISTS OR missing NOT EXISTS AND o_orderstatus = f", "o_orderstatus IS NULL OR lower(o_orderstatus) = 'f'"),
     "filter_and_or_not": (
         "lineitem", "l_orderkey, l_linenumber", "(l_returnflag = r AND NOT (l_quantity < 30 OR l_tax >= 0.05)) OR NOT NOT l_linestatus = 'O' AND l_discount = 0.1",
         "(lower(l_returnflag) = 'r' AND NOT (l_quantity < 30 OR l_tax >= 0.05)) OR (lower(l_linestatus) = 'o' AND l_discount = 0.1)",
@@ -289,14 +289,10 @@ def _(spark, sf):
 
 for _order in ("asc", "desc"):
 
-    @register(f"geo_sort_{_order}", f"SELECT c_custkey, CAST(row_number() OVER (ORDER BY round({_metres(10, 20)}, 3) {_order}, c_custkey) AS INT) AS place FROM customer QUALIFY place <= 50")
+    @register(f"geo_sort_{_order}", f"SELECT c_custkey, round({_metres(10, 20)}, 3) AS metres FROM customer ORDER BY metres {_order}, c_custkey LIMIT 50")
     def _(spark, sf, order=_order):
-        from pyspark.sql import Window
-
-        ix = _places(spark, sf)
-        d = F.round(geo.distance(F.col("_geo.lat"), F.col("_geo.lng"), 10, 20), 3)
-        top = ix.documents.orderBy(d.asc() if order == "asc" else d.desc(), "c_custkey").limit(50)
-        return top.select("c_custkey", F.row_number().over(Window.orderBy(d.asc() if order == "asc" else d.desc(), "c_custkey")).alias("place"))
+        page = _places(spark, sf).search().sort_criteria(f"_geoPoint(10, 20):{order}").limit(50).execute()
+        return page.select("c_custkey", F.round(geo.distance(F.col("_geo.lat"), F.col("_geo.lng"), 10, 20), 3).alias("metres"))
 
 
 # sort, distinct, facets
@@ -332,9 +328,10 @@ def _(spark, sf):
     return facet_counts.distribution(table(spark, sf, "documents"), ["lang", "source"])
 
 
-@register("facet_distribution_filtered", "SELECT 'p_size' AS field, CAST(p_size AS VARCHAR) AS value, count(*) AS count FROM part WHERE p_retailprice > 1000 GROUP BY p_size ORDER BY p_size LIMIT 20")
+@register("facet_distribution_filtered", "SELECT 'p_size' AS field, CAST(p_size AS VARCHAR) AS value, count(*) AS count FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part) GROUP BY p_size ORDER BY p_size LIMIT 20")
 def _(spark, sf):
-    hits = parts(spark, sf).search().filter("p_retailprice > 1000").candidates()
+    mean = table(spark, sf, "part").agg(F.avg("p_retailprice")).first()[0]
+    hits = parts(spark, sf).search().filter(f"p_retailprice > {mean!r}").candidates()
     return facet_counts.distribution(hits, ["p_size"], "p_partkey", 20)
 
 
@@ -447,15 +444,17 @@ def _(spark, sf):
 
 @register("streaming_ingest", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def _(spark, sf):
+    from pharos.indexing import StoredIndex
     from pharos.streaming.ingest import ingest
 
     s = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     source, root = scratch(spark), scratch(spark)
     s.repartition(3).write.parquet(source)
-    store = lifecycle.Store(spark, root)
+    ix = StoredIndex(spark, root)
+    ix.update_settings(primary_key="s_suppkey", searchable=("s_name",))
     stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    ingest(stream, store, "s_suppkey", scratch(spark)).awaitTermination()
-    return store.read().select("s_suppkey", "s_name", "s_acctbal")
+    ingest(stream, ix, scratch(spark)).awaitTermination()
+    return ix.documents().select("s_suppkey", "s_name", "s_acctbal")
 
 
 # formatting
@@ -477,16 +476,113 @@ def _(spark, sf):
     return s.criteria("words").candidates().select("p_partkey", F.explode(m.bounds_of(F.col("p_name"))).alias("b")).select("p_partkey", "b.start", "b.length")
 
 
-@register("crop")
+@register(
+    "crop",
+    # the words of a name, numbered; the crop starts (3 - 1) // 2 words before the match, but ends with the name at the latest
+    "WITH w AS (SELECT p_partkey, string_split(p_name || ' of ' || lower(p_type) || ' and ' || p_name, ' ') AS ws FROM part), "
+    "m AS (SELECT p_partkey, ws, list_position(ws, 'ring') AS at FROM w WHERE list_contains(ws, 'ring')), "
+    "c AS (SELECT *, least(greatest(1, at - 1), len(ws) - 2) AS a FROM m) "
+    "SELECT p_partkey, CASE WHEN a > 1 THEN '…' ELSE '' END || array_to_string([CASE WHEN x = 'ring' THEN '<em>ring</em>' ELSE x END FOR x IN ws[a : a + 2]], ' ') || CASE WHEN a + 2 < len(ws) THEN '…' ELSE '' END AS formatted FROM c",
+)
 def _(spark, sf):
-    s = documents(spark, sf).search("worthless clown ").authorize_typos(False).expand(False, False)
+    p = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.lit("of"), F.lower("p_type"), F.lit("and"), "p_name").alias("text"))
+    s = Index(p, Settings(searchable=("text",), authorize_typos=False), "p_partkey").search("ring ").expand(False, False)
     m = formatting.Matcher(s.tree())
-    return s.criteria("words").candidates().select("doc_id", m.formatted(F.col("text"), formatting.FormatOptions(highlight=True, crop=20)).alias("formatted"))
+    return s.criteria("words").candidates().select("p_partkey", m.formatted(F.col("text"), formatting.FormatOptions(highlight=True, crop=3)).alias("formatted"))
 
 
 @register("persisted_index", f"SELECT word, count(DISTINCT doc_id) AS df FROM {O.tokens(O.PARTS)} GROUP BY word")
 def _(spark, sf):
     ix = parts(spark, sf)
-    tokens = materialise(ix.tokens.repartitionByRange("word").sortWithinPartitions("word", "doc_id", "pos"))
-    return Index(ix.documents, ix.settings, ix.key, tokens=tokens).vocabulary
+    return Index(ix.documents, ix.settings, ix.key, tokens=materialise(index.stored(ix.tokens))).vocabulary
+
+
+# a stored index: parts are added, a third of them replaced, some deleted, none of it in one batch
+
+_STORED_NAME = "CASE WHEN p_partkey % 3 = 0 THEN 'renewed ' || p_name ELSE p_name END"
+_STORED = f"(SELECT p_partkey, {_STORED_NAME} AS p_name, p_type, p_brand, p_size FROM part WHERE p_partkey % 10 <> 4)"
+
+
+def _stored(spark, sf):
+    from pharos.indexing import StoredIndex
+
+    ix = StoredIndex(spark, scratch(spark))
+    ix.update_settings(searchable=("p_name", "p_type", "p_brand"), filterable=("p_size", "p_type"), sortable=("p_size",), primary_key="p_partkey", authorize_typos=False)
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    ix.add_documents(p)
+    ix.add_documents(p.where("p_partkey % 3 = 0").withColumn("p_name", F.concat(F.lit("renewed "), "p_name")).unionByName(p.where("p_partkey % 3 = 1")))
+    ix.delete_documents(p.where("p_partkey % 10 = 4").select("p_partkey"))
+    return ix
+
+
+@register("index_documents", f"SELECT * FROM {_STORED}")
+def _(spark, sf):
+    return _stored(spark, sf).documents().drop("_docid", "_extid")
+
+
+@register("index_documents_vocabulary", "SELECT word, count(DISTINCT doc_id) AS df FROM " + O.tokens(("st", "p_partkey", ("p_name", "p_type", "p_brand"))).replace("FROM st ", f"FROM {_STORED} st ") + " GROUP BY word")
+def _(spark, sf):
+    return _stored(spark, sf).index().vocabulary
+
+
+@register(
+    "index_documents_search",
+    "SELECT p_partkey, words, proximity FROM (" + O.search(("st", "p_partkey", ("p_name", "p_type", "p_brand")), [("renewed", False, 0), ("ring", False, 0)], [[0, 1], [0]], ("words", "proximity"), "p_size > 10").replace("FROM st ", f"FROM {_STORED} st ") + ")",
+)
+def _(spark, sf):
+    s = _stored(spark, sf).search("renewed ring ").expand(False, False).filter("p_size > 10").criteria("words", "proximity")
+    return s.candidates().select("p_partkey", F.col("words").cast("long").alias("words"), F.col("proximity").cast("long").alias("proximity"))
+
+
+@register("index_documents_update", "SELECT p_partkey, p_name, p_size + 1 AS p_size FROM part")
+def _(spark, sf):
+    from pharos.indexing import IndexDocumentsConfig, StoredIndex
+
+    ix = StoredIndex(spark, scratch(spark))
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_size")
+    ix.update_settings(primary_key="p_partkey", searchable=("p_name",))
+    ix.add_documents(p)
+    ix.add_documents(p.select("p_partkey", (F.col("p_size") + 1).alias("p_size")), IndexDocumentsConfig("update"))
+    return ix.documents().select("p_partkey", "p_name", "p_size")
+
+
+@register("page_default", "SELECT * FROM (" + O.search(O.PARTS, [("small", False, 1), ("widgit", False, 1)], [[0, 1], [0]], DEFAULT_CRITERIA) + ") ORDER BY words, typo, proximity, attribute, exactness, p_partkey LIMIT 40")
+def _(spark, sf):
+    s = parts(spark, sf).search("small widgit ").expand(False, False).limit(40)
+    return s.execute().select("p_partkey", *(F.col(r).cast("long").alias(r) for r in ("words", "typo", "proximity", "attribute", "exactness")))
+
+
+@register("primary_key_ids", "SELECT count(*) AS n, count(*) FILTER (NOT regexp_full_match(ext, '[a-zA-Z0-9_-]+')) AS bad FROM (SELECT trim(s_name || CASE WHEN s_suppkey % 4 = 0 THEN ' x' ELSE '' END) AS ext FROM supplier)")
+def _(spark, sf):
+    s = table(spark, sf, "supplier").select(F.struct(F.concat("s_name", F.when(F.col("s_suppkey") % 4 == 0, " x").otherwise("")).alias("id")).alias("o"))
+    ids = lifecycle.with_ids(s, "o.id")
+    return ids.agg(F.count("*").alias("n")).crossJoin(lifecycle.invalid_ids(ids).agg(F.count("*").alias("bad")))
+
+
+@register("geo_validation", "SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0")
+def _(spark, sf):
+    lat = F.when(F.col("c_custkey") % 5 == 0, "north").otherwise("12.5")
+    return lifecycle.geo_errors(table(spark, sf, "customer").withColumn("_geo", F.struct(lat.alias("lat"), F.lit(3.0).alias("lng")))).select("c_custkey")
+
+
+@register("source_json_array", "SELECT n_nationkey, n_name FROM nation")
+def _(spark, sf):
+    path = scratch(spark)
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    n.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).coalesce(1).write.text(path)
+    return readers.json_array(spark, path, n.schema)
+
+
+@register("snapshot_copy", "SELECT s_suppkey, s_name FROM supplier")
+def _(spark, sf):
+    store, copy = lifecycle.Store(spark, scratch(spark)), scratch(spark)
+    store.write(table(spark, sf, "supplier").select("s_suppkey", "s_name").repartition(5))
+    store.copy_to(copy, 1)
+    return lifecycle.Store(spark, copy).read()
+
+
+@register("searchable_dotted_fields", "SELECT DISTINCT doc_id AS c_custkey FROM " + O.tokens(("customer", "c_custkey", ("c_mktsegment", "c_name"))) + " WHERE word = 'building'")
+def _(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", F.struct(F.col("c_name").alias("name"), F.array(F.struct(F.col("c_mktsegment").alias("of"))).alias("segment")).alias("who"))
+    return Index(c, Settings(searchable=("who.segment.of", "who.name"), authorize_typos=False), "c_custkey").search("building ").expand(False, False).criteria("words").candidates().select("c_custkey")
 

@@ -10,7 +10,8 @@ def distinct_hits(hits: DataFrame, orders: list[Column], value: Column, array: b
     """A page of ``hits`` in order. Single values are ranked within their group; of array values, a kept
     document excludes all that share any of its values, which is decided one after the other."""
     if not array:
-        best = F.row_number().over(Window.partitionBy(value).orderBy(*orders))
+        alone = F.when(value.isNull(), F.col(key))  # documents without a value are groups of their own, not one group
+        best = F.row_number().over(Window.partitionBy(value, alone).orderBy(*orders))
         out = hits.withColumn("_best", best).where(value.isNull() | (F.col("_best") == 1)).drop("_best").orderBy(*orders)
         return (out.offset(start) if start else out).limit(size)
     # greedy: stream the ranking to the driver, narrow rows only, until the page is full

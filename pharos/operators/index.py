@@ -21,6 +21,8 @@ from pharos.functions import tokenizer as Z
 from pharos.functions.times import epoch, is_time
 
 MAX_DISTANCE = 7
+#: Files that hold the occurrences of one word.
+SPREAD = 4
 
 
 def text_of(column: Column, kind: T.DataType) -> Column:
@@ -33,16 +35,47 @@ def text_of(column: Column, kind: T.DataType) -> Column:
     return column.cast("string")
 
 
+def field_text(df: DataFrame, name: str) -> Column:
+    """Text of a field by its literal name or its dotted path; of what a path finds inside an array, all
+    values. A field that doesn't exist has none."""
+    if name in df.columns:
+        return text_of(F.col(f"`{name}`"), df.schema[name].dataType)
+    head, *rest = name.split(".")
+    if head not in df.columns:
+        return F.lit("")
+    column, kind = F.col(f"`{head}`"), df.schema[head].dataType
+    for part in rest:
+        depth, inner = 0, kind
+        while isinstance(inner, T.ArrayType):
+            depth, inner = depth + 1, inner.elementType
+        if not isinstance(inner, T.StructType) or part not in inner.names:
+            return F.lit("")
+        column, kind = column[part] if not depth else _inside(column, part, depth), inner[part].dataType
+        for _ in range(depth):
+            kind = T.ArrayType(kind)
+    return text_of(column, kind)
+
+
+def _inside(column: Column, part: str, depth: int) -> Column:
+    return F.transform(column, lambda x: x[part] if depth == 1 else _inside(x, part, depth - 1))
+
+
+def is_faceted(field: str, names: set[str]) -> bool:
+    """Is the field named, or nested in a named one?"""
+    return any(field == n or field.startswith(n + ".") for n in names)
+
+
+def stored(tokens: DataFrame) -> DataFrame:
+    """``tokens`` as they are best stored for searches: rows of a word together and in order, so that a scan
+    for words skips the rest, with frequent words in several files. No pass goes before the shuffle."""
+    return tokens.repartition("word", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).sortWithinPartitions("word", "doc_id", "fid", "pos")
+
+
 def tokens(df: DataFrame, fields: list[str], key: str = "doc_id", stop_words: frozenset[str] = frozenset(), exact: tuple[str, ...] = ()) -> DataFrame:
     """Words of ``fields`` (in order of importance), without a shuffle."""
     if not fields:
         return df.where("false").select(F.col(key).alias("doc_id"), *(F.lit(None).cast(t).alias(n) for n, t in (("fid", "int"), ("exact", "boolean"), ("pos", "int"), ("word", "string"))))
-    each = F.array(
-        *[
-            F.struct(F.lit(i).alias("fid"), F.coalesce(text_of(F.col(f), df.schema[f].dataType), F.lit("")).alias("text"), F.lit(f in exact).alias("exact"))
-            for i, f in enumerate(fields)
-        ]
-    )
+    each = F.array(*[F.struct(F.lit(i).alias("fid"), F.coalesce(field_text(df, f), F.lit("")).alias("text"), F.lit(is_faceted(f, set(exact))).alias("exact")) for i, f in enumerate(fields)])
     out = (
         df.select(F.col(key).alias("doc_id"), F.explode(each).alias("f"))
         .select("doc_id", "f.fid", "f.exact", F.posexplode(Z.tokens(F.col("f.text"))).alias("pos", "word"))

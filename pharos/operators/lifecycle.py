@@ -57,7 +57,7 @@ def with_ids(df: DataFrame, key: str, autogenerate: bool = False) -> DataFrame:
 
 def invalid_ids(df: DataFrame) -> DataFrame:
     """Rows whose ``ext_id`` is missing or has other characters than letters, digits, - and _."""
-    return df.where("ext_id is null").unionByName(df.where(~F.col("ext_id").rlike(VALID_ID)))
+    return df.where(F.col("ext_id").isNull() | ~F.col("ext_id").rlike(VALID_ID))
 
 
 def geo_errors(df: DataFrame) -> DataFrame:
@@ -171,6 +171,10 @@ class Store:
         name = f"v-{uuid.uuid4().hex}"
         w = df.write
         (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{self.root}/{name}/documents")
+        return self.publish(name, settings_json)
+
+    def publish(self, name: str, settings_json: str) -> str:
+        """Make the version of this name, whose files are complete, the current one."""
         self._put(f"{name}/settings.json", settings_json)
         self._put("CURRENT.next", name)
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
@@ -198,7 +202,8 @@ class Store:
             s.close()
 
     def clear(self) -> str:
-        return self.write(self.read().where("false"))
+        """No documents; the settings stay."""
+        return self.write(self.read().where("false"), json.dumps(self.settings()))
 
     def size(self) -> int:
         """Bytes of the current version."""

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pharos.plans.derive import derivations
+from pharos.plans.derive import found
 from pharos.plans.query import Phrase, Query
 
 FAR = 7
@@ -22,12 +22,11 @@ FIELD = 65_536
 
 
 def evidence(tokens: DataFrame, vocabulary: DataFrame, units: list) -> DataFrame:
-    """Occurrences of every unit. Exact attributes count for words without typos only."""
+    """Occurrences of every unit, in the fields and documents of ``tokens``. Exact attributes count for words without typos only."""
     words = [(i, u.word, u.prefix, u.typos) for i, u in enumerate(units) if isinstance(u, Query)]
     out = None
     if words:
-        d = derivations(vocabulary, words)
-        out = tokens.join(d, "word").where("typo = 0 or not exact").select("doc_id", F.col("leaf").alias("unit"), "fid", "pos", F.col("pos").alias("last"), "typo")
+        out = found(tokens, vocabulary, words).where("typo = 0 or not exact").select("doc_id", F.col("leaf").alias("unit"), "fid", "pos", F.col("pos").alias("last"), "typo")
     for i, u in enumerate(units):
         if isinstance(u, Phrase):
             p = phrase_places(tokens, u.words).withColumn("unit", F.lit(i)).withColumn("typo", F.lit(0)).select("doc_id", "unit", "fid", "pos", "last", "typo")

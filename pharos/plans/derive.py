@@ -8,9 +8,11 @@ one the first character must agree; with two, a wrong first character counts as
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pharos.runtime import materialise
+
 
 def distance(a: str, b: str, prefix: bool = False, most: int = 2) -> int:
     """Edits from ``a`` to ``b`` (or to the nearest prefix of ``b``); ``most + 1`` if there are more."""
@@ -45,35 +47,66 @@ def typos(word: str, candidate: str, prefix: bool, budget: int) -> int | None:
     return 2 if budget == 2 and d <= 1 else None
 
 
-def _cost(word: str, prefix: bool, budget: int):
-    @F.pandas_udf("int")
-    def cost(s: pd.Series) -> pd.Series:
-        return s.map(lambda c: typos(word, c, prefix, budget)).astype("Int32")
+#: Words that differ from a query's by typos and are looked for by name; more of them are joined.
+NAMED = 4096
 
-    return cost
 
+def plain(word: str, prefix: bool) -> Column:
+    """Is the column ``word`` what a leaf says, without a typo?"""
+    return F.col("word").startswith(word) if prefix else F.col("word") == word
 
-def derivations(vocabulary: DataFrame, leaves: list[tuple[int, str, bool, int]]) -> DataFrame:
-    """(leaf, word, typo) of every vocabulary word that a leaf (number, word, prefix, budget) stands for.
 
-    Exact and prefix leaves stay in the JVM. Typo leaves first pass a filter on length and on Spark's
-    own edit distance (a transposition is two of its edits), so Python sees few words.
+def misspelt(vocabulary: DataFrame, leaves: list[tuple[int, str, bool, int]]) -> DataFrame | None:
+    """(leaf, word, typo) of the vocabulary words that leaves (number, word, prefix, budget) stand for with a
+    typo at least, None if no leaf may have any: one pass over the vocabulary.
+
+    Words first pass a filter on length and on Spark's own edit distance (a transposition is two of its
+    edits), so that Python sees few; what it sees is named by the leaf, so that the optimiser can't move it
+    to another table.
     """
-    out = None
+    near = []
     for number, word, prefix, budget in leaves:
-        w = F.col("word")
-        plain = w.startswith(word) if prefix else w == word
         if not budget:
-            found = vocabulary.where(plain).select(F.lit(number).alias("leaf"), "word", F.lit(0).alias("typo"))
+            continue
+        w = F.col("word")
+        if prefix:
+            head = F.levenshtein(F.expr(f"left(word, {len(word)})"), F.lit(word), 3 * budget)
+            ok = (F.length("word") >= len(word) - budget) & (head >= 0) & (head <= 3 * budget)
         else:
-            if prefix:
-                near = F.length("word") >= len(word) - budget
-                head = F.levenshtein(F.expr(f"left(word, {len(word)})"), F.lit(word), 3 * budget)
-                near &= (head >= 0) & (head <= 3 * budget)
-            else:
-                lev = F.levenshtein(w, F.lit(word), 2 * budget)
-                near = F.length("word").between(len(word) - budget, len(word) + budget) & (lev >= 0)
-            cost = _cost(word, prefix, budget)
-            found = vocabulary.where(plain | near).select(F.lit(number).alias("leaf"), "word", cost("word").alias("typo")).where("typo is not null")
-        out = found if out is None else out.unionByName(found)
-    return out
+            ok = F.length("word").between(len(word) - budget, len(word) + budget) & (F.levenshtein(w, F.lit(word), 2 * budget) >= 0)
+        near.append(F.when(ok & ~plain(word, prefix), F.lit(number)))
+    if not near:
+        return None
+    by = {number: (word, prefix, budget) for number, word, prefix, budget in leaves}
+
+    @F.pandas_udf("int")
+    def cost(leaf: pd.Series, s: pd.Series) -> pd.Series:
+        return pd.Series([typos(by[n][0], c, *by[n][1:]) for n, c in zip(leaf, s, strict=True)], dtype="Int32")
+
+    some = vocabulary.select("word", F.explode(F.filter(F.array(*near), lambda x: x.isNotNull())).alias("leaf"))
+    return some.select("leaf", "word", cost("leaf", "word").alias("typo")).where("typo is not null")
+
+
+def found(tokens: DataFrame, vocabulary: DataFrame, leaves: list[tuple[int, str, bool, int]]) -> DataFrame:
+    """The rows of ``tokens`` whose word a leaf stands for, with ``leaf`` and ``typo``, one row a leaf.
+
+    Misspelt words are looked up in the vocabulary first. As names and prefixes they reach the scan of the
+    tokens, which nothing is joined with; only where there are more than ``NAMED`` they are joined.
+    """
+    wrong = misspelt(vocabulary, leaves)
+    rows = wrong.limit(NAMED + 1).collect() if wrong is not None else []
+    many = len(rows) > NAMED
+    cost = {}
+    for r in [] if many else rows:
+        cost.setdefault((r["leaf"], r["typo"]), []).append(r["word"])
+    wanted, each = None, []
+    for number, word, prefix, _ in leaves:
+        ok, typo = plain(word, prefix), F.when(plain(word, prefix), 0)
+        for n in (1, 2):
+            if words := cost.get((number, n)):
+                named = F.col("word").isin(sorted(words))
+                ok, typo = ok | named, typo.when(named, n)
+        wanted = ok if wanted is None else wanted | ok
+        each.append(F.when(ok, F.struct(F.lit(number).alias("leaf"), typo.alias("typo"))))
+    out = tokens.where(wanted).withColumn("_d", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull()))).select(*tokens.columns, "_d.leaf", "_d.typo")
+    return out.unionByName(tokens.join(materialise(wrong), "word").select(out.columns)) if many else out

@@ -20,23 +20,33 @@ from pharos.runtime import ship
 from pharos.settings import Settings
 
 
+#: Pages up to so many hits are ranked without their documents, which are fetched afterwards.
+PAGE = 1000
+
+
 class Index:
     """Documents with their settings; derived tables are lazy frames, or persisted ones if given."""
 
-    def __init__(self, documents: DataFrame, settings: Settings | None = None, key: str = "doc_id", tokens: DataFrame | None = None, vocabulary: DataFrame | None = None, word_pairs: DataFrame | None = None):
+    def __init__(self, documents: DataFrame, settings: Settings | None = None, key: str = "doc_id", tokens: DataFrame | None = None, vocabulary: DataFrame | None = None, word_pairs: DataFrame | None = None, lengths: DataFrame | None = None):
         ship(documents.sparkSession)
         self.documents, self.settings, self.key = documents, settings or Settings(), key
         names = [f.name for f in documents.schema.fields if f.name != key]
         self.fields = list(self.settings.searchable) if self.settings.searchable is not None else names
         self.tokens = tokens if tokens is not None else I.tokens(documents, self.fields, key, self.settings.stop_words, self.settings.exact_attributes)
         self.vocabulary = vocabulary if vocabulary is not None else I.vocabulary(self.tokens)
+        self.lengths = lengths if lengths is not None else I.field_len(self.tokens)
         self._pairs = word_pairs
 
     def search(self, query: str | None = None) -> Search:
         return Search(self, query)
 
     def word_documents_count(self, word: str) -> int:
-        return self.tokens.where(F.col("word") == word).select("doc_id").distinct().count()
+        return self.word_counts([word])[word]
+
+    def word_counts(self, words: list[str]) -> dict[str, int]:
+        """Documents that have each word: one lookup in the vocabulary."""
+        rows = self.vocabulary.where(F.col("word").isin(sorted(set(words)))).collect()
+        return dict.fromkeys(words, 0) | {r["word"]: r["df"] for r in rows}
 
     def pair_counts(self, words: list[str]) -> dict[tuple[str, str], int]:
         """Documents in which the two halves of any split of ``words`` stand side by side: one scan."""
@@ -111,7 +121,7 @@ class Search:
         parts = self.parts()
         words = [p.text for p in parts if hasattr(p, "text")]
         pairs = self.index.pair_counts(words) if self.split and words else {}
-        counts = {w: self.index.word_documents_count(w) for w in set(words)} if self.strategy == "frequency" else {}
+        counts = self.index.word_counts(words) if self.strategy == "frequency" and words else {}
         return Planner(
             self.typos and s.authorize_typos, s.one_typo, s.two_typos, s.exact_words, s.synonyms, lambda w: counts.get(w, 0), lambda a, b: pairs.get((a, b), 0), self.split, self.ngrams
         ).build(parts, self.strategy)
@@ -131,7 +141,10 @@ class Search:
         seqs = [(k, tuple(number[u] for u in s)) for k, s in forms]
         rules = [parse_criterion(r).name for r in self.active_rules()]
         pairs = {p for _, s in seqs for p in zip(s, s[1:], strict=False)} if "proximity" in rules else set()
-        per = R.per_document(R.evidence(ix.tokens, ix.vocabulary, units), units, pairs)
+        tokens = ix.tokens
+        if self.condition is not None:  # documents that the filter rejects are neither aggregated nor ranked
+            tokens = tokens.join(docs.select(F.col(ix.key).alias("doc_id")), "doc_id", "left_semi")
+        per = R.per_document(R.evidence(tokens, ix.vocabulary, units), units, pairs)
         per = per.withColumn("words", R.words_bucket(seqs)).where("words is not null")
         first = "words" in rules
         cols = []
@@ -144,7 +157,7 @@ class Search:
         per = per.select("doc_id", "words", *cols)
         if "exactness" in rules:
             parts = self.parts()
-            ex = R.exactness(ix.tokens, I.field_len(ix.tokens), parts)
+            ex = R.exactness(tokens, ix.lengths, parts)
             per = per.join(ex, "doc_id", "left").withColumn("exactness", R.exactness_bucket(len(parts))).drop("full", "starts", "contained")
         hits = per.withColumnRenamed("doc_id", ix.key)
         clash = [c for c in docs.columns if c != ix.key and c in hits.columns]
@@ -194,7 +207,9 @@ class Search:
         return hits, self._orders(hits)
 
     def execute(self) -> DataFrame:
-        """The page of hits, best first, with ``hit_rank`` from 0 over all hits of the page's query."""
+        """The page of hits, best first. A setting of ``pagination_max_total_hits`` ends it at so many hits."""
+        if (cap := self.index.settings.pagination_max_total_hits) is not None and self.size > max(0, cap - self.start):
+            return replace(self, size=max(0, cap - self.start)).execute()
         hits, orders = self.ranked()
         on = self.distinct_on or self.index.settings.distinct
         if on is not None:
@@ -205,7 +220,17 @@ class Search:
         out = hits.orderBy(*orders)
         if self.start:
             out = out.offset(self.start)
-        return out.limit(self.size)
+        if self.size > PAGE:
+            return out.limit(self.size)
+        # rank narrow rows, then fetch the page's documents by their ids, which reach the scan
+        ix = self.index
+        scores = [c for c in hits.columns if c not in ix.documents.columns]
+        spark, kind = hits.sparkSession, hits.select(ix.key, *scores).schema
+        best = out.limit(self.size).select(ix.key, *scores).collect()
+        ranked = spark.createDataFrame([(*r, i) for i, r in enumerate(best)], kind.add("_place", T.IntegerType()))
+        rest = [c for c in hits.columns if c != ix.key]
+        page = ix.documents.where(F.col(ix.key).isin([r[0] for r in best]))
+        return page.join(F.broadcast(ranked), ix.key).orderBy("_place").select(ix.key, *rest)  # a page: bounded by PAGE
 
     def count(self) -> int:
         """Exact number of hits (before distinct)."""

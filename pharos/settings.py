@@ -35,7 +35,7 @@ class Settings:
     one_typo: int = 5
     two_typos: int = 9
     max_values_per_facet: int = 100
-    pagination_max_total_hits: int = 1000
+    pagination_max_total_hits: int | None = None
 
     def update(self, has_documents: bool = False, **changes) -> tuple[Settings, bool]:
         """(new settings, must derived tables be rebuilt?). ``RESET`` restores a default; a setting that

@@ -1,30 +1,23 @@
-"""Streaming ingestion: each micro-batch of documents is upserted into a store as a new version.
+"""Streaming ingestion: each micro-batch of documents is added to a stored index as a new version.
 
-The store's versions are immutable and the pointer moves last. A micro-batch that Spark repeats after a
-failure is recognised by its number, which travels in the version's settings, and is not applied twice.
+A batch writes files of its own documents only. A micro-batch that Spark repeats after a failure is
+recognised by its number, which travels in the version's manifest, and is not applied twice.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pharos.operators.lifecycle import Store, upsert_replace, upsert_update
+from pharos.indexing import IndexDocumentsConfig, StoredIndex
 
 
-def ingest(stream: DataFrame, store: Store, key: str, checkpoint: str, merge: bool = False, seq: str | None = None) -> StreamingQuery:
-    """Run until the source is used up. ``seq`` orders rows of one id within a batch."""
+def ingest(stream: DataFrame, index: StoredIndex, checkpoint: str, config: IndexDocumentsConfig | None = None, seq: str | None = None) -> StreamingQuery:
+    """Run until the source is used up. ``seq`` orders rows of one id within a batch; without it the order
+    in which Spark reads them does, which isn't the order of arrival across files."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        version = store.version()
-        if version is not None and store.settings().get("batch", -1) >= number:
-            return
-        rows = batch.withColumn("seq", F.col(seq) if seq else F.monotonically_increasing_id())
-        upsert = upsert_update if merge else upsert_replace
-        current = store.read() if version is not None else batch.where("false")
-        store.write(upsert(current, rows, key), json.dumps({"batch": number}))
+        if index.meta.get("batch", -1) < number:
+            index.add_documents(batch, config, seq, batch=number)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

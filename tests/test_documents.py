@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pharos.functions import formatting as fm
+from pharos.indexing import StoredIndex
 from pharos.operators import lifecycle as lc
 from pharos.plans.query import Planner, primitive
 from pharos.sources import readers as rd
@@ -106,10 +107,11 @@ def test_formatting():
 
 
 def test_streaming(spark, tmp_path):
-    src, store = str(tmp_path / "src"), lc.Store(spark, str(tmp_path / "store"))
+    src, ix = str(tmp_path / "src"), StoredIndex(spark, str(tmp_path / "index"))
     spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string").coalesce(1).write.parquet(src)
     stream = lambda: spark.readStream.schema("id int, v string").parquet(src)
-    ingest(stream(), store, "id", str(tmp_path / "cp")).awaitTermination()
+    ingest(stream(), ix, str(tmp_path / "cp")).awaitTermination()
     spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string").coalesce(1).write.mode("append").parquet(src)
-    ingest(stream(), store, "id", str(tmp_path / "cp")).awaitTermination()
-    assert {tuple(r) for r in store.read().select("id", "v").collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    ingest(stream(), ix, str(tmp_path / "cp")).awaitTermination()
+    assert {tuple(r) for r in ix.documents().select("id", "v").collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    assert ix.meta["batch"] == 1

@@ -95,7 +95,7 @@ def test_derivations_on_columns(spark):
     vocab = ["zealand", "zealend", "sealand", "zeal", "zoo", "worthless", "wortless", "wrothless", "clown", "clowns"]
     df = spark.createDataFrame([(w, 1) for w in vocab], "word string, df long")
     leaves = [(0, "zealand", False, 1), (1, "zealand", False, 2), (2, "ze", True, 0), (3, "worthles", True, 2), (4, "clwon", True, 1)]
-    got = sorted((r.leaf, r.word, r.typo) for r in derive.derivations(df, leaves).collect())
+    got = sorted((r.leaf, r.word, r.typo) for r in derive.found(df, df, leaves).collect())
     want = sorted((i, w, t) for (i, q, p, b), w in itertools.product(leaves, vocab) if (t := derive.typos(q, w, p, b)) is not None)
     assert got == want
 

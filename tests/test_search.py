@@ -164,8 +164,49 @@ def test_geo_sort_and_missing(spark):
 
 def test_topk_plan(spark):
     df = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("cat").alias("text"))
-    plan = Index(df, Settings(searchable=("text",))).search("cat ").expand(False, False).execute()._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan
+    hits, orders = Index(df, Settings(searchable=("text",))).search("cat ").expand(False, False).ranked()
+    assert "TakeOrderedAndProject" in hits.orderBy(*orders).limit(20)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_typo_search_plan(spark, tmp_path):
+    """Words reach the scan of the stored tokens, above which no Python runs, and the filter goes before the ranking."""
+    docs = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(["worthless clown", "worthles crown", "a clwon", "nothing", "zebra clowns"])], "doc_id long, text string, even int")
+    plain = Index(docs, Settings(searchable=("text",), filterable=("even",)))
+    I.stored(plain.tokens).write.parquet(str(tmp_path / "t"))
+    plain.vocabulary.write.parquet(str(tmp_path / "v"))
+    ix = Index(docs, plain.settings, tokens=spark.read.parquet(str(tmp_path / "t")), vocabulary=spark.read.parquet(str(tmp_path / "v")))
+    s = ix.search("worthlass clwon ").expand(False, False).terms_matching_strategy("any").criteria("words", "typo")
+    plan = s.candidates()._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.splitlines() if "FileScan parquet" in x and "word" in x)
+    assert "Python" not in plan and "ArrowEval" not in plan
+    assert "worthles" in scan.split("PushedFilters")[1] and "FileScan" in scan
+    want = sorted(tuple(r) for r in plain.search("worthlass clwon ").expand(False, False).terms_matching_strategy("any").criteria("words", "typo").candidates().collect())
+    assert sorted(tuple(r) for r in s.candidates().collect()) == want and {r[0] for r in want} == {0, 1, 2}
+    filtered = s.filter("even = 0")
+    assert sorted(tuple(r) for r in filtered.candidates().collect()) == [r for r in want if r[0] % 2 == 0]
+    text = filtered.candidates()._jdf.queryExecution().executedPlan().toString()
+    assert text.index("HashAggregate") < text.index("LeftSemi")  # printed from the top: the semi-join is below the ranking
+
+
+def test_many_misspelt_words_are_joined(spark, monkeypatch):
+    from pharos.plans import derive
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["worthless clown", "worthles crown", "a clwon", "worthlessly wrothless"])], "doc_id long, text string")
+    s = Index(docs, Settings(searchable=("text",))).search("worthlass clwon ").expand(False, False).terms_matching_strategy("any").criteria("words", "typo")
+    want = sorted(tuple(r) for r in s.candidates().collect())
+    monkeypatch.setattr(derive, "NAMED", 1)
+    assert sorted(tuple(r) for r in s.candidates().collect()) == want
+
+
+def test_pages_end_at_the_cap(spark):
+    ix = Index(spark.range(30).withColumnRenamed("id", "doc_id"), Settings(searchable=(), pagination_max_total_hits=12))
+    assert ix.search().limit(20).execute().count() == 12 and ix.search().offset(10).limit(20).execute().count() == 2 and ix.search().offset(15).execute().count() == 0
+
+
+def test_dotted_and_missing_searchable_fields(spark):
+    df = spark.createDataFrame([(1, ("red", [("fox", [("jumps",)])]), "lit word")], "doc_id int, a struct<b:string,c:array<struct<d:string,e:array<struct<f:string>>>>>, `x.y` string")
+    got = sorted((r.fid, r.word) for r in I.tokens(df, ["a.b", "a.c.d", "a.c.e.f", "x.y", "a.zz", "none"]).collect())
+    assert got == [(0, "red"), (1, "fox"), (2, "jumps"), (3, "lit"), (3, "word")]
 
 
 def test_settings():
