@@ -146,6 +146,40 @@ def viterbi(emission: np.ndarray, first: np.ndarray, size: np.ndarray, trans: np
     return out
 
 
+def likelihood(params: list[np.ndarray], flat: list[np.ndarray], gold: np.ndarray, mask: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Log-likelihood of the gold tags (rows x words x tags, 0 beyond each row's end) and its gradient.
+
+    ``params`` are the weights of a word's, its predecessor's and its successor's features, of transitions
+    and of starts; ``flat`` the features, (rows * words) x features.
+    """
+    n, m, k = gold.shape
+
+    def lse(a, axis):
+        top = a.max(axis=axis, keepdims=True)
+        return np.squeeze(top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True)), axis)
+
+    e = sum(q @ p for q, p in zip(flat, params[:3], strict=True)).reshape(n, m, k)
+    trans, start = params[3], params[4]
+    alpha, beta = np.zeros((n, m, k)), np.zeros((n, m, k))
+    alpha[:, 0] = e[:, 0] + start
+    for t in range(1, m):
+        nxt = lse(alpha[:, t - 1, :, None] + trans[None], 1) + e[:, t]
+        alpha[:, t] = np.where(mask[:, t, None], nxt, alpha[:, t - 1])
+    for t in range(m - 2, -1, -1):
+        prv = lse(trans[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
+        beta[:, t] = np.where(mask[:, t + 1, None], prv, 0)
+    z = lse(alpha[:, -1], 1)
+    p = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
+    d = (gold - p).reshape(-1, k)
+    grads = [q.T @ d for q in flat]
+    pair = mask[:, 1:, None, None]
+    expect = (np.exp(np.clip(alpha[:, :-1, :, None] + trans[None, None] + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None], -700, 0)) * pair).sum(axis=(0, 1))
+    seen = (gold[:, :-1, :, None] * gold[:, 1:, None, :]).sum(axis=(0, 1))
+    grads += [seen - expect, (gold[:, 0] - p[:, 0]).sum(axis=0)]
+    score = (gold * e).sum() + (seen * trans).sum() + (gold[:, 0] * start).sum()
+    return float(score - z.sum()), grads
+
+
 def train(rows: list[tuple[list[bytes], list[str]]], rounds: int = 200, l2: float = 0.01, rate: float = 0.1) -> Field:
     """Penalised maximum likelihood by Adam; forward-backward over the padded table."""
     feats = [[features(w) for w in words] for words, _ in rows]
@@ -174,29 +208,8 @@ def train(rows: list[tuple[list[bytes], list[str]]], rounds: int = 200, l2: floa
     gold *= mask[:, :, None]
     flat = [q.reshape(-1, nf) for q in xs]
 
-    def lse(a, axis):
-        top = a.max(axis=axis, keepdims=True)
-        return np.squeeze(top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True)), axis)
-
     for step in range(1, rounds + 1):
-        e = sum(q @ p for q, p in zip(flat, params[:3], strict=True)).reshape(n, m, k)
-        trans, start = params[3], params[4]
-        alpha, beta = np.zeros((n, m, k)), np.zeros((n, m, k))
-        alpha[:, 0] = e[:, 0] + start
-        for t in range(1, m):
-            nxt = lse(alpha[:, t - 1, :, None] + trans[None], 1) + e[:, t]
-            alpha[:, t] = np.where(mask[:, t, None], nxt, alpha[:, t - 1])
-        for t in range(m - 2, -1, -1):
-            prv = lse(trans[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-            beta[:, t] = np.where(mask[:, t + 1, None], prv, 0)
-        z = lse(alpha[:, -1], 1)
-        p = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
-        d = (gold - p).reshape(-1, k)
-        grads = [q.T @ d for q in flat]
-        pair = mask[:, 1:, None, None]
-        expect = (np.exp(np.clip(alpha[:, :-1, :, None] + trans[None, None] + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None], -700, 0)) * pair).sum(axis=(0, 1))
-        seen = (gold[:, :-1, :, None] * gold[:, 1:, None, :]).sum(axis=(0, 1))
-        grads += [seen - expect, (gold[:, 0] - p[:, 0]).sum(axis=0)]
+        _, grads = likelihood(params, flat, gold, mask)
         for j, (q, g) in enumerate(zip(params, grads, strict=True)):
             g = g - l2 * q * (5 if j >= 3 else 1)
             mom[j] = 0.9 * mom[j] + 0.1 * g

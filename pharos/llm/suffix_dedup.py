@@ -17,6 +17,8 @@ those windows (most of a clean corpus) are dropped before any text moves.
 3. Segments go to their shard in order of document; each shard keeps its index family.
 4. Runs of repeated windows of a document are joined to maximal spans.
 
+``repeated_spans`` does this for one table; ``SuffixIndex`` keeps names, texts and matches in stored levels.
+
 Result: ``doc_id, start_word, n_words, first_doc_id``: every maximal span all of whose windows of
 ``length`` words occur elsewhere too (in another document or another place of this one), first and
 later occurrences alike; ``first_doc_id`` is the smallest doc_id that holds one of its windows. Words
@@ -30,6 +32,10 @@ smaller (doc_id, place) is first; other columns are ignored; an empty table give
 
 from __future__ import annotations
 
+import functools
+import json
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,6 +43,7 @@ from pyspark.sql import functions as F
 
 from pharos.llm import textkit as T
 from pharos.llm.frames import by_id
+from pharos.operators.lifecycle import Store
 from pharos.runtime import materialise, partitions, ship, table
 
 LENGTH, K = 50, 10
@@ -110,12 +117,12 @@ def window_names(w: T.Words, k: int, length: int):
     return first, at[best], h[best]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = BATCH) -> DataFrame:
-    """See the module's text."""
-    spark = docs.sparkSession
-    ship(spark)
-    n = partitions(spark)
-    texts = by_id(docs)[0].select("doc_id", F.array_join("texts", " ").alias("text"))
+def _texts(docs: DataFrame) -> DataFrame:
+    return by_id(docs)[0].select("doc_id", F.array_join("texts", " ").alias("text"))
+
+
+def _places(texts: DataFrame, length: int, k: int) -> DataFrame:
+    """(name, doc_id, pos): the name of every window, and the word at which its name's gram begins."""
 
     def names(batches):
         for c in T.slices(batches, 1000):
@@ -125,10 +132,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int
             ids = c.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(name[sel].view(np.int64)), pa.array(ids[w.doc[place[sel]]], pa.int64()), pa.array(w.pos()[place[sel]], pa.int32())], ["name", "doc_id", "pos"])
 
-    places = materialise(texts.mapInArrow(names, "name bigint, doc_id bigint, pos int"))
+    return texts.mapInArrow(names, "name bigint, doc_id bigint, pos int")
+
+
+def _repeated(places: DataFrame) -> DataFrame:
     spot = F.struct("doc_id", "pos")
-    repeated = places.groupBy("name").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a != b").select("name")
-    marks = materialise(places.join(repeated, "name", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("marks")))
+    return places.groupBy("name").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a != b").select("name")
+
+
+def _marks(places: DataFrame, names: DataFrame) -> DataFrame:
+    return places.join(names, "name", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("marks"))
+
+
+def _matches(texts: DataFrame, marks: DataFrame, length: int, k: int, batch: int) -> DataFrame:
+    """(doc_id, lo, hi, own): runs of windows of the marked names that repeat, and the least document of each."""
+    n = partitions(texts.sparkSession)
     shards = 16 * n
 
     def cut(batches):
@@ -193,7 +211,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int
         if held:
             yield flush()
 
-    runs = segments.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "pos").mapInArrow(scan, "doc_id bigint, lo int, hi int, own bigint")
+    return segments.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "pos").mapInArrow(scan, "doc_id bigint, lo int, hi int, own bigint")
+
+
+def _spans(runs: DataFrame, length: int) -> DataFrame:
     by = Window.partitionBy("doc_id").orderBy("lo", "hi", "own")
     reach = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
     return (
@@ -205,6 +226,73 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int
     )
 
 
+def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, batch: int = BATCH) -> DataFrame:
+    """See the module's text."""
+    ship(docs.sparkSession)
+    texts = _texts(docs)
+    places = materialise(_places(texts, length, k))
+    marks = materialise(_marks(places, _repeated(places)))
+    return _spans(_matches(texts, marks, length, k, batch), length)
+
+
+class SuffixIndex:
+    """A stored index family, to which batches are added: after any number of batches ``spans`` is what
+    ``repeated_spans`` gives for all their documents together.
+
+    Each level holds its documents' texts, their windows' names in order, and the matches found so far. A
+    batch's names are merged with those of every level; only texts that share a name with it (or with
+    each other, in the batch) are matched by suffix arrays. The batch becomes a level; levels of about
+    equal size are merged, so a document is rewritten a logarithmic number of times. A batch must hold
+    no doc_id that the index has already; a writer that dies leaves the index as it was.
+    """
+
+    TABLES = ("texts", "places", "matches")
+
+    def __init__(self, spark: SparkSession, root: str, length: int = LENGTH, k: int = K, batch: int = BATCH):
+        ship(spark)
+        self.spark, self.store, self.length, self.k, self.batch = spark, Store(spark, root), length, k, batch
+
+    def levels(self) -> list[list]:
+        """[folder, number of documents] of each level, largest first."""
+        return self.store.settings()["levels"] if self.store.version() is not None else []
+
+    def _read(self, levels: list[list], name: str) -> DataFrame | None:
+        parts = [self.spark.read.parquet(f"{self.store.root}/{folder}/{name}") for folder, _ in levels]
+        return functools.reduce(DataFrame.unionByName, parts) if parts else None
+
+    def _write(self, folder: str, tables: dict[str, DataFrame]) -> None:
+        for name, df in tables.items():
+            (df.repartition("name").sortWithinPartitions("name") if name == "places" else df).write.parquet(f"{self.store.root}/{folder}/{name}")
+
+    def add(self, docs: DataFrame) -> None:
+        levels = self.levels()
+        texts = materialise(_texts(docs))
+        if levels and texts.join(self._read(levels, "texts"), "doc_id", "left_semi").limit(1).count():
+            raise ValueError("the index has documents of the batch already")
+        new = materialise(_places(texts, self.length, self.k))
+        old, old_texts = self._read(levels, "places"), self._read(levels, "texts")
+        names = _repeated(new)
+        if old is not None:
+            names = names.union(old.join(new.select("name"), "name", "left_semi").select("name")).distinct()
+        names = materialise(names)
+        places = new if old is None else new.unionByName(old)
+        marks = materialise(_marks(places, names))
+        found = _matches(texts if old is None else texts.unionByName(old_texts), marks, self.length, self.k, self.batch)
+        name = f"v-{uuid.uuid4().hex}"
+        self._write(f"{name}/new", {"texts": texts, "places": new, "matches": found})
+        levels = [*levels, [f"{name}/new", texts.count()]]
+        merged = 0
+        while len(levels) > 1 and levels[-2][1] < 2 * levels[-1][1]:
+            last = levels[-2:]
+            merged += 1
+            self._write(f"{name}/{merged}", {t: self._read(last, t) for t in self.TABLES})
+            levels[-2:] = [[f"{name}/{merged}", last[0][1] + last[1][1]]]
+        self.store.publish(name, json.dumps({"levels": levels}))
+
+    def spans(self) -> DataFrame:
+        return _spans(self._read(self.levels(), "matches"), self.length)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"))
 

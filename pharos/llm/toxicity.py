@@ -105,6 +105,22 @@ def unlike(texts: list[str]) -> list[str]:
     return kept
 
 
+def risk(fp: np.ndarray, fu: np.ndarray, prior: float, beta: float = 0.0, gamma: float = 1.0) -> tuple[float, np.ndarray, np.ndarray]:
+    """The estimated risk of scores of positives and unlabelled, and the step's gradient by each score.
+
+    Logistic loss: log(1 + exp(-f)) for positives, log(1 + exp(f)) for negatives. While the negatives' risk,
+    what the unlabelled's leaves when the positives' share is taken off, is above ``-beta``, the gradient is
+    that of the whole; else it is that of this rest, reversed and times ``gamma``.
+    """
+    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+    rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    value = prior * np.logaddexp(0, -fp).mean() + max(0.0, rest)
+    dp_pos, dp_neg, du_neg = -prior * sig(-fp) / len(fp), -prior * sig(fp) / len(fp), sig(fu) / len(fu)
+    if rest >= -beta:
+        return value, dp_pos + dp_neg, du_neg
+    return value, -gamma * dp_neg, -gamma * du_neg
+
+
 def nnpu(positive: list[str], unlabelled: list[str], prior: float, rounds: int = 400, rate: float = 0.3, l1: float = 1e-4, beta: float = 0.0, gamma: float = 1.0) -> Linear:
     nothing = np.zeros(0, np.uint64)
     if not positive or not 0 < prior < 1:
@@ -136,19 +152,10 @@ def nnpu(positive: list[str], unlabelled: list[str], prior: float, rounds: int =
     pr, pc = inside(pr, ph)
     w, b = np.zeros(n), -1.0
     g2, gb2 = np.full(n, 1e-6), 1e-6
-    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
     for _ in range(rounds):
         fp = b + np.bincount(pr, w[pc], minlength=np_)
         fu = b + np.bincount(ur, w[uc], minlength=nu)
-        # logistic loss: log(1 + exp(-f)) for positives, log(1 + exp(f)) for negatives
-        rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        dp_pos = -prior * sig(-fp) / np_
-        dp_neg = -prior * sig(fp) / np_
-        du_neg = sig(fu) / nu
-        if rest >= -beta:
-            dp, du = dp_pos + dp_neg, du_neg
-        else:
-            dp, du = -gamma * dp_neg, -gamma * du_neg
+        _, dp, du = risk(fp, fu, prior, beta, gamma)
         grad = np.bincount(pc, dp[pr], minlength=n) + np.bincount(uc, du[ur], minlength=n)
         gb = dp.sum() + du.sum()
         g2 += grad * grad

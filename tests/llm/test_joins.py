@@ -153,6 +153,34 @@ def test_one_of_each_group_stays(spark):
     assert {r.group_id for r in J.groups(chain).collect()} == {1}
 
 
+def test_stored_levels_are_as_one_batch(spark, tmp_path):
+    rng = random.Random(6)
+    word = lambda: f"v{rng.randrange(900)}"
+    passages = [[word() for _ in range(30)] for _ in range(4)]
+    texts = [(i, " ".join([word() for _ in range(rng.randrange(25))] + rng.choice(passages)[rng.randrange(6) :] + [word() for _ in range(9)])) for i in rng.sample(range(100), 40)]
+    ix = S.SuffixIndex(spark, str(tmp_path / "i"), length=20, k=5, batch=30)
+    sizes = []
+    for a in range(0, 40, 8):
+        ix.add(frame(spark, texts[a : a + 8]))
+        sizes.append([n for _, n in ix.levels()])
+        assert rows(ix.spans()) == brute_spans(texts[: a + 8], 20)
+    assert sizes == [[8], [16], [16, 8], [32], [32, 8]]
+    with pytest.raises(ValueError, match="already"):
+        ix.add(frame(spark, texts[:1]))
+    ix.add(frame(spark, []))
+    assert rows(ix.spans()) == brute_spans(texts, 20)
+
+
+def test_several_texts_of_one_id_and_a_long_text(spark):
+    rng = random.Random(10)
+    word = lambda: f"v{rng.randrange(3000)}"
+    passage = [word() for _ in range(40)]
+    long = [word() for _ in range(30_000)] + passage + [word() for _ in range(5000)]
+    texts = [(1, "b " + " ".join(passage)), (1, "a " + " ".join(passage[:30])), (2, " ".join(long)), (2, " ".join(long)), (3, " ".join(passage[5:]))]
+    one = [(1, "a " + " ".join(passage[:30]) + " b " + " ".join(passage)), (2, " ".join(long)), (3, " ".join(passage[5:]))]
+    assert rows(S.repeated_spans(frame(spark, texts), length=20, k=5)) == brute_spans(one, 20)
+
+
 def brute_spans(texts, length):
     win = {}
     for i, t in {(i, t) for i, t in texts if i is not None and t is not None}:
@@ -239,6 +267,17 @@ def test_contamination_of_nothing(spark):
     for limit in (1 << 20, 0):
         assert rows(D.contamination(frame(spark, []), bench(spark, [(1, "a b c d e f g h i")]), broadcast_bytes=limit)) == []
         assert rows(D.contamination(frame(spark, [(1, "a b c d e f g h i")]), bench(spark, []), broadcast_bytes=limit)) == []
-    docs = frame(spark, [(1, "a b c d e f g h i"), (2, "clean text of its own"), (3, None)])
-    kept = D.decontaminate(docs, bench(spark, [(1, "z a b c d e f g h i")]))
-    assert sorted(r.doc_id for r in kept.collect()) == [2, 3] and kept.columns == docs.columns
+    docs = frame(spark, [(1, "a b c d e f g h i"), (2, "clean text of its own"), (3, None), (None, "A b c, d e f g h i!"), (None, "also clean"), (2, "x a b c d e f g h i")])
+    for limit in (1 << 20, 0):
+        kept = D.decontaminate(docs, bench(spark, [(1, "z a b c d e f g h i")]), broadcast_bytes=limit)
+        assert rows(kept.select("doc_id", "text")) == sorted([(2, "clean text of its own"), (3, None), (None, "also clean")], key=repr) and kept.columns == docs.columns
+
+
+def test_repetitive_texts_meet_repetitive_items(spark, monkeypatch):
+    texts, items = [(1, "rep " * 300), (2, "la li " * 150), (3, "rep " * 9 + "end")], [(1, "rep " * 40), (2, "li la " * 30 + "rep rep")]
+    want = brute_hits(texts, items, 8)
+    assert rows(D.contamination(frame(spark, texts), bench(spark, items))) == want
+    monkeypatch.setattr(D, "HITS", 100)
+    assert rows(D.contamination(frame(spark, texts), bench(spark, items))) == want
+    big = D.contamination(frame(spark, [(1, "rep " * 100_000)]), bench(spark, [(1, "rep " * 60)]))
+    assert big.count() == 100_000 + 60 - 1 - 2 * 7  # one maximal span a diagonal, of at least 8 words

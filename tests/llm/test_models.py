@@ -56,6 +56,28 @@ def test_language_cases(spark):
     assert [r.accepted for r in langid.identify(frame(spark, [(1, "the and")]), none).collect()] == [False]
 
 
+def test_language_of_held_out_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    m = langid.fit(docs.where("doc_id % 2 = 0"))
+    out = langid.identify(docs.where("doc_id % 2 = 1"), m).toPandas()
+    assert len(out) > 50 and (out.predicted == out.lang).mean() > 0.95
+
+
+def test_short_and_long_texts_are_learnt_from(spark):
+    short = frame(spark, [(i, w) for i, w in enumerate(["oui non", "le chat", "la vie"] * 3)], "fr")
+    long = frame(spark, [(100, "der hund und die katze " * 3000)], "de")
+    m = langid.fit(short.unionByName(long))
+    assert m.names == ["de", "fr"] and m.automata[0].size <= langid.TRAIN_CHARS + 1  # a blank goes before each text
+    got = {r.doc_id: r.predicted for r in langid.identify(frame(spark, [(1, "le chat"), (2, "die katze und der hund"), (3, "die katze " * 20_000)]), m).collect()}
+    assert got == {1: "fr", 2: "de", 3: "de"}
+
+
+def test_language_ties_go_to_the_first_name():
+    m = langid.Model({"b": b"same text", "a": b"same text"})
+    best, bits, margin = m.judge(["same text", "zzz"])
+    assert [m.names[i] for i in best] == ["a", "a"] and margin.tolist() == [0.0, 0.0] and bits[0] < bits[1]
+
+
 @pytest.fixture(scope="module")
 def field():
     return pii.model()
@@ -74,6 +96,45 @@ def slow_viterbi(e, trans, start):
     return tags[::-1]
 
 
+def test_likelihood_by_brute_force():
+    """Value and gradient against the sum over all tag sequences and against differences."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    n, m, k, nf = 3, 4, 3, 2
+    size = [4, 1, 3]
+    mask = np.array([[t < s for t in range(m)] for s in size])
+    tags = rng.integers(0, k, (n, m))
+    gold = np.eye(k)[tags] * mask[:, :, None]
+    flat = [rng.normal(size=(n * m, nf)) for _ in range(3)]
+    params = [*(rng.normal(size=(nf, k)) for _ in range(3)), rng.normal(size=(k, k)), rng.normal(size=k)]
+
+    def slow(ps):
+        e = sum(q @ p for q, p in zip(flat, ps[:3], strict=True)).reshape(n, m, k)
+        total = 0.0
+        for i, s in enumerate(size):
+            score = lambda y: ps[4][y[0]] + sum(e[i, t, y[t]] for t in range(len(y))) + sum(ps[3][a, b] for a, b in zip(y, y[1:], strict=False))  # noqa: B023, E731
+            total += score(tags[i, :s]) - np.log(sum(np.exp(score(y)) for y in itertools.product(range(k), repeat=s)))
+        return total
+
+    value, grads = pii.likelihood(params, flat, gold, mask)
+    assert value == pytest.approx(slow(params))
+    for j, g in enumerate(grads):
+        for at in np.ndindex(g.shape):
+            up, down = ([p.copy() for p in params] for _ in range(2))
+            up[j][at] += 1e-5
+            down[j][at] -= 1e-5
+            assert g[at] == pytest.approx((slow(up) - slow(down)) / 2e-5, abs=1e-6)
+
+
+def test_viterbi_ties():
+    """Of equal tags the first, at the end and on every way back."""
+    e, zero = np.zeros((7, 3)), np.zeros((3, 3))
+    assert pii.viterbi(e, np.array([0, 4]), np.array([4, 3]), zero, np.zeros(3)).tolist() == [0] * 7
+    e[2] = [0, 1, 1]
+    assert pii.viterbi(e, np.array([0]), np.array([7]), zero, np.zeros(3)).tolist() == [0, 0, 1, 0, 0, 0, 0]
+
+
 def test_viterbi_by_brute_force():
     rng = np.random.default_rng(1)
     k = len(pii.TAGS)
@@ -137,6 +198,31 @@ def test_toxicity(spark):
     assert toxicity.toxic_documents(frame(spark, []), toxicity.fit(frame(spark, []), labels)).count() == 0
 
 
+@pytest.mark.parametrize("shift", [0.0, -4.0])
+def test_risk_and_gradient_by_definition(shift):
+    rng = np.random.default_rng(2)
+    fp, fu, prior = rng.normal(size=7), rng.normal(size=11) + shift, 0.45
+    pos = lambda p: prior * np.mean(np.log1p(np.exp(-p)))
+    rest = lambda p, u: np.mean(np.log1p(np.exp(u))) - prior * np.mean(np.log1p(np.exp(p)))
+    value, dp, du = toxicity.risk(fp, fu, prior, 0.0, 0.7)
+    assert (rest(fp, fu) < 0) == (shift < 0) and value == pytest.approx(pos(fp) + max(0, rest(fp, fu)))
+    target = (lambda p, u: -0.7 * rest(p, u)) if shift else (lambda p, u: pos(p) + rest(p, u))
+    for i in range(7):
+        d = np.eye(7)[i] * 1e-6
+        assert dp[i] == pytest.approx((target(fp + d, fu) - target(fp - d, fu)) / 2e-6, abs=1e-7)
+    for i in range(11):
+        d = np.eye(11)[i] * 1e-6
+        assert du[i] == pytest.approx((target(fp, fu + d) - target(fp, fu - d)) / 2e-6, abs=1e-7)
+
+
+def test_null_and_foreign_labels_dont_count(spark):
+    docs = frame(spark, [(i, "nasty awful" if i % 4 == 0 else f"kind words {i % 9}") for i in range(40)])
+    labels = [(i, int(i % 4 == 0), 0) for i in range(40)]
+    schema = "doc_id long, toxic int, text int"
+    same = [toxicity.fit(docs, spark.createDataFrame(x, schema)) for x in (labels, [*labels, (1, None, 0), *((i, 1, 0) for i in range(500, 900))])]
+    assert same[0].bias == same[1].bias and same[0].weight.tolist() == same[1].weight.tolist()
+
+
 def test_risk_is_corrected():
     """Positives hidden among the unlabelled don't turn into negatives."""
     pos = [f"nasty c{i % 7} d{i % 11}" for i in range(60)]
@@ -145,6 +231,39 @@ def test_risk_is_corrected():
     assert m.scores(["nasty c1"])[0] > 0 > m.scores(["kind c1"])[0]
 
 
+def test_splits_by_brute_force():
+    """Each tree's root is the split of greatest gain among all."""
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        n = int(rng.integers(8, 40))
+        x, g, h = rng.integers(0, 6, (n, 3)).astype(float), rng.normal(size=n), rng.random(n) + 0.1
+        best, total = 1e-6, lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 1.0)  # noqa: B023
+        splits = {}
+        for f in range(3):
+            for t in sorted(set(x[:, f])):
+                low = x[:, f] <= t
+                if min(low.sum(), (~low).sum()) >= url_filter.MIN_LEAF:
+                    splits[f, t] = total(low) + total(~low) - total(np.ones(n, bool))
+        tree = url_filter.grow(x, g, h, np.arange(n), 1)
+        if isinstance(tree, float):
+            assert not splits or max(splits.values()) <= best + 1e-12
+            continue
+        f, t, left, right = tree
+        low = x[:, f] <= t
+        gain = total(low) + total(~low) - total(np.ones(n, bool))
+        assert gain == pytest.approx(max(splits.values()))
+        for leaf, rows in ((left, low), (right, ~low)):
+            assert leaf == pytest.approx(-url_filter.RATE * g[rows].sum() / (h[rows].sum() + 1.0))
+
+
+def test_url_ties_and_null_labels(spark):
+    tied = url_filter.train(["http://a.com/x"] * 6 + ["http://a.com/y"] * 6, [0, 1] * 6)  # nothing tells the classes apart
+    assert tied.probability(["http://a.com/x"])[0] == pytest.approx(tied.probability(["http://a.com/y"])[0]) == pytest.approx(0.5)
+    some = spark.createDataFrame([("http://a", 0), ("http://a", 1), ("http://b", None), (None, 1), ("http://c", 0)], "url string, label int")
+    m = url_filter.fit(some)
+    assert m.prior == pytest.approx(2 / 4)  # two URLs count, one of them bad by its greatest label
+
+
 def test_url_filter(spark):
     names, bad = zip(*urls(), strict=True)
     hits = []

@@ -61,11 +61,69 @@ def test_both_recursions_agree():
     db = bpe.Recursive(*bpe.load(bpe.TOKENIZERS))
     rng = random.Random(2)
     found = [bytes(rng.choices(b"abcab \xc3\xa9th", k=rng.randrange(1, 40))) for _ in range(200)]
-    size = np.array([len(x) for x in found])
-    a, b = db._contract(bpe.LEFTMOST, found, size), db._contract(bpe.EVERYWHERE, found, size)
+    found += [bytes(rng.choices(b"abcthe", k=rng.randrange(65, 200))) for _ in range(40)]
+    a, b = db._contract(bpe.LEFTMOST, found), db._contract(bpe.EVERYWHERE, found)
     assert [x.tolist() for x in a] == [x.tolist() for x in b]
 
 
+def test_long_pieces_in_stretches(monkeypatch):
+    db, whole = bpe.Recursive(*bpe.load(bpe.TOKENIZERS)), token_blocks.encoder(bpe.TOKENIZERS)
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    found = ["".join(rng.choices(letters, k=rng.choice([65, 127, 128, 129, 200, 700]))).encode() for _ in range(60)]
+    found += ["".join(rng.choices("eatinos", k=400)).encode() for _ in range(15)] + [("a" * n).encode() for n in (63, 64, 65, 128, 129, 1500)] + [("abc" * n).encode() for n in (30, 700)]
+    found += [("the" * 50 + "x" + "ing" * 60).encode(), ("é" * 300).encode(), bytes(rng.randrange(256) for _ in range(900)), "".join(rng.choices("ACGT", k=3000)).encode(), ("日本語" * 200).encode()]
+    want = whole(found)
+    assert [x.tolist() for x in db.encode(found)] == want
+    monkeypatch.setattr(bpe, "WIDE", 150)  # what two stretches make goes to the other recursion
+    monkeypatch.setattr(bpe, "PAIRS", 50)
+    assert [x.tolist() for x in db.encode(found)] == want
+
+
+def test_a_very_long_piece():
+    import time
+
+    db = bpe.Recursive(*bpe.load(bpe.TOKENIZERS))
+    piece = "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyz", k=200_000)).encode()
+    began = time.time()
+    assert db.encode([piece])[0].tolist() == token_blocks.encoder(bpe.TOKENIZERS)([piece])[0]
+    assert time.time() - began < 120
+    again = b"ab" * 100_000  # periodic: its stretches grow together
+    assert db.encode([again])[0].tolist() == token_blocks.encoder(bpe.TOKENIZERS)([again])[0]
+
+
+def test_memo_is_bounded_by_bytes():
+    calls = []
+    memo = pieces.Memo(lambda found: (calls.append(len(found)), [[len(x)] for x in found])[1], limit=10 * pieces.ENTRY)
+    for i in range(6):
+        tokens, n = memo.tokens(pieces.pieces([" ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(8))]))
+        assert len(n) == 8 and len(memo.at) <= 19
+    assert sum(calls) == 48
+
+
+def plain_unpack(raw, start):
+    """The block at ``start``, bit by bit, from the format's description."""
+    low, width, excess, n = int.from_bytes(raw[start : start + 4], "little"), raw[start + 4], raw[start + 5], raw[start + 6] + 1
+    bits = int.from_bytes(raw[start + 7 : start + 7 + 16 * width], "little")
+    out = [bits >> width * i & (1 << width) - 1 for i in range(128)]
+    at = start + 7 + 16 * width
+    for e in range(excess):
+        high = raw[at + excess + 4 * e : at + excess + 4 * e + 4]
+        out[raw[at + e]] |= int.from_bytes(high, "little") << width
+    return [low + x for x in out[:n]]
+
+
+def test_blocks_by_an_independent_decoder():
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(0, 50257, 1), rng.integers(0, 50257, 300), np.where(rng.random(4000) < 0.08, 50_000, rng.integers(5, 40, 4000)), np.full(129, 3), rng.integers(0, 1 << 31, 260)]
+    counts = np.array([len(d) for d in docs])
+    buf, at, _ = token_blocks.pack(np.concatenate(docs), counts)
+    got = [x for a in at[:-1].tolist() for x in plain_unpack(buf.tobytes(), a)]
+    assert got == np.concatenate(docs).tolist()
+    # widths are those of the percentile: at most a tenth of a block are exceptions
+    assert all(buf[a + 5] <= 128 - -(-128 * token_blocks.PERCENTILE // 100) for a in at[:-1].tolist())
+
+
 def test_blocks(spark, reference):
     docs = frame(spark, [*TEXTS, "word " * 1000, "1 " * 700])
     out = token_blocks.encode(docs)
@@ -128,6 +186,31 @@ def test_pipeline(spark):
     assert some and all(redacted[i] == text[i] for i in some)
 
 
+def test_pipeline_edge_cases(spark, tmp_path, reference):
+    """Null ids, labels and texts, empty texts, repeated rows and ids, a very long text, clashing columns, an empty table."""
+    base = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(150).collect()]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    prose = next(t for _, t, la in base if la == "en" and len(t) > 300)
+    long = random.Random(1).choices([w for _, t, la in base if la == "en" for w in t.split() if w.isalpha()], k=60_000)
+    rows = [*base, base[0], (None, prose + " of its own kind", "en"), (None, item, "en"), (9001, None, "en"), (9002, "", None), (9003, prose, None), (9003, item, "en"), (9004, " ".join(long), "en")]
+    sf = str(tmp_path)
+    docs = spark.createDataFrame([(i, t, la, "s", 0, 1, "b") for i, t, la in rows], "doc_id long, text string, lang string, source string, n_chars int, size int, block string")
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{sf}/benchmark.parquet")
+    kept = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.materialise(f(spark, kept, sf))
+        assert kept.columns == docs.columns, name
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    ids = [i for i, _ in left]
+    assert 9001 not in ids and 9002 not in ids and ids.count(None) == 1 and 9004 in ids  # no text; no text; the item's row of two without an id
+    assert all(item not in (t or "") for _, t in left)
+    out = {(r.doc_id, tuple(r.tokens)) for r in corpus_pipeline.run(spark, sf).collect()}
+    assert out == {(i, tuple(reference(t))) for i, t in left}
+    docs.where("false").write.mode("overwrite").parquet(f"{sf}/documents.parquet")
+    assert corpus_pipeline.run(spark, sf).count() == 0
+
+
 def test_pipeline_benchmark_and_tokens(spark, reference):
     words = lambda t: "".join(c if c.isalnum() or ord(c) > 127 else " " for c in t.lower()).split()
     spans = lambda t: {tuple(w[i : i + 8]) for w in [words(t)] for i in range(len(w) - 7)}
