@@ -75,13 +75,36 @@ def _(spark, sf):
 
 @register(
     "prefix_postings",
-    f"WITH w AS (SELECT DISTINCT word, doc_id FROM {O.tokens(O.DOCS)}), p AS (SELECT DISTINCT word, left(word, k) AS prefix FROM (SELECT word, unnest(range(1, least(4, length(word)) + 1)) AS k FROM w)), "
+    f"WITH w AS (SELECT DISTINCT word, doc_id FROM {O.tokens(O.DOCS)}), p AS (SELECT DISTINCT word, left(word, k) AS prefix FROM (SELECT word, unnest(range(1, least(4, length(word)) + 1)) AS k FROM w) WHERE strlen(left(word, k)) <= 4), "
     "c AS (SELECT prefix FROM p GROUP BY prefix HAVING count(*) >= 100) SELECT prefix, count(DISTINCT doc_id) AS n_docs FROM p JOIN c USING (prefix) JOIN w USING (word) GROUP BY prefix",
 )
 def _(spark, sf):
     return index.prefix_postings(documents(spark, sf).tokens).groupBy("prefix").agg(F.count("*").alias("n_docs"))
 
 
+_COMMON = (
+    "p AS (SELECT DISTINCT word, left(word, k) AS prefix FROM (SELECT word, unnest(range(1, least(4, length(word)) + 1)) AS k FROM tk) WHERE strlen(left(word, k)) <= 4), "
+    "c AS (SELECT p.* FROM p JOIN (SELECT prefix FROM p GROUP BY prefix HAVING count(*) >= 20) USING (prefix))"
+)
+
+
+@register("prefix_positions", f"WITH tk AS {O.tokens(O.PARTS)}, {_COMMON.replace('>= 20', '>= 3')} SELECT DISTINCT prefix, CAST(fid AS INT) AS fid, CAST(pos AS INT) AS pos, doc_id AS p_partkey FROM tk JOIN c USING (word)")
+def _(spark, sf):
+    return index.prefix_positions(parts(spark, sf).tokens, 3).withColumnRenamed("doc_id", "p_partkey")
+
+
+for _forward in (True, False):
+
+    @register(
+        f"prefix_pairs_{'forward' if _forward else 'backward'}",
+        f"WITH tk AS {O.tokens(O.DOCS)}, {_COMMON}, m AS (SELECT a.doc_id, a.word AS w1, b.word AS w2, min(b.pos - a.pos) AS prox FROM tk a JOIN tk b ON a.doc_id = b.doc_id AND a.fid = b.fid AND b.pos BETWEEN a.pos + 1 AND a.pos + 7 GROUP BY ALL), "
+        f"x AS (SELECT doc_id, {'w1' if _forward else 'w2'} AS word, prefix, min(prox) AS prox FROM m JOIN c ON {'w2' if _forward else 'w1'} = c.word GROUP BY ALL) SELECT prefix, CAST(prox AS INT) AS prox, count(*) AS n FROM x GROUP BY ALL",
+    )
+    def _(spark, sf, forward=_forward):
+        ix = documents(spark, sf)
+        return index.prefix_pairs(index.word_pairs(ix.tokens), ix.vocabulary, 20, forward=forward).groupBy("prefix", "prox").agg(F.count("*").alias("n"))
+
+
 @register(
     "word_pair_proximity",
     f"WITH tk AS {O.tokens(O.DOCS)}, m AS (SELECT a.doc_id, a.word AS w1, b.word AS w2, min(b.pos - a.pos) AS prox FROM tk a JOIN tk b ON a.doc_id = b.doc_id AND a.fid = b.fid AND b.pos BETWEEN a.pos + 1 AND a.pos + 7 GROUP BY ALL) "
@@ -262,6 +285,27 @@ for _name, (_table, _keys, _text, _where) in _FILTERS.items():
     register(_name, f"SELECT {_keys} FROM {_table} WHERE {_where}")(_filter_query(_table, _keys, _text))
 
 
+@register("filter_schemaless", "SELECT event_id FROM events WHERE event_id % 4 = 0 OR event_id % 4 = 2 AND event_id > 50")
+def _(spark, sf):
+    from pharos.plans import filters
+
+    # of each four, one has a null, one lacks the field, one holds an array, one a word
+    text = F.element_at(F.array(F.lit('{"a": {"b": null}}'), F.lit('{"c": 1}'), F.format_string('{"a": {"b": ["x", %d]}}', F.col("event_id")), F.lit('{"a": {"b": "Word"}}')), (F.col("event_id") % 4 + 1).cast("int"))
+    e = table(spark, sf, "events").select("event_id", F.parse_json(text).alias("document"))
+    return e.where(filters.compile(filters.parse("a.b EXISTS AND NOT a.b = word AND a.b != x OR a.b > 50 OR NOT a EXISTS AND c = 2"), e)).select("event_id")
+
+
+@register("count_distinct_hits", "SELECT count(DISTINCT o_custkey) AS n FROM orders WHERE o_totalprice > 100000")
+def _(spark, sf):
+    ix = Index(table(spark, sf, "orders"), Settings(searchable=("o_orderpriority",), filterable=("o_totalprice",), distinct="o_custkey"), key="o_orderkey")
+    return spark.createDataFrame([(ix.search().filter("o_totalprice > 100000").count(),)], "n long")
+
+
+@register("geo_points", "SELECT c_custkey AS doc_id, CAST((c_custkey * 37) % 180 - 90 AS DOUBLE) AS lat, CAST((c_custkey * 91) % 360 - 180 AS DOUBLE) AS lng FROM customer")
+def _(spark, sf):
+    return index.geo_points(_places(spark, sf).documents, "c_custkey")
+
+
 @register("filter_array", "SELECT doc_id FROM documents WHERE lower(lang) = 'de' OR lower(source) = 'src3'")
 def _(spark, sf):
     return documents(spark, sf).search().filter([["lang = de", "source = SRC3"], ""]).candidates().select("doc_id")
@@ -480,8 +524,8 @@ def _(spark, sf):
     "crop",
     # the words of a name, numbered; the crop starts (3 - 1) // 2 words before the match, but ends with the name at the latest
     "WITH w AS (SELECT p_partkey, string_split(p_name || ' of ' || lower(p_type) || ' and ' || p_name, ' ') AS ws FROM part), "
-    "m AS (SELECT p_partkey, ws, list_position(ws, 'ring') AS at FROM w WHERE list_contains(ws, 'ring')), "
-    "c AS (SELECT *, least(greatest(1, at - 1), len(ws) - 2) AS a FROM m) "
+    "m AS (SELECT p_partkey, ws, list_position(ws, 'ring') AS place FROM w WHERE list_contains(ws, 'ring')), "
+    "c AS (SELECT *, least(greatest(1, place - 1), len(ws) - 2) AS a FROM m) "
     "SELECT p_partkey, CASE WHEN a > 1 THEN '…' ELSE '' END || array_to_string([CASE WHEN x = 'ring' THEN '<em>ring</em>' ELSE x END FOR x IN ws[a : a + 2]], ' ') || CASE WHEN a + 2 < len(ws) THEN '…' ELSE '' END AS formatted FROM c",
 )
 def _(spark, sf):

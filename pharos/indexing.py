@@ -152,10 +152,10 @@ class StoredIndex:
         return step
 
     def add_documents(
-        self, batch: DataFrame, config: IndexDocumentsConfig | None = None, seq: str | None = None,
+        self, docs: DataFrame, config: IndexDocumentsConfig | None = None, seq: str | None = None,
         progress: Callable[[str], None] | None = None, should_abort: Callable[[], bool] | None = None, **changes,
     ) -> dict:
-        """Index a batch; returns how many documents were ``given``, ``indexed`` and left ``unchanged``.
+        """Index a batch of documents; returns how many documents were ``given``, ``indexed`` and left ``unchanged``.
 
         Of several rows of one id the greatest ``seq`` counts (else the last in the frame's order); rows
         that are stored already as they are keep their ``_docid``. Missing or malformed ids and ``_geo``
@@ -165,8 +165,8 @@ class StoredIndex:
         if config.method not in ("replace", "update"):
             raise ValueError(f"unknown method {config.method}; use replace or update")
         step("reading")
-        key = L.infer_primary_key(batch.columns, s.primary_key, config.autogenerate)
-        rows = L.with_ids(batch, key, config.autogenerate).withColumnRenamed("ext_id", EXTID)
+        key = L.infer_primary_key(docs.columns, s.primary_key, config.autogenerate)
+        rows = L.with_ids(docs, key, config.autogenerate).withColumnRenamed("ext_id", EXTID)
         rows = materialise(rows.withColumn("_seq", F.col(seq).cast("long") if seq else F.monotonically_increasing_id()))
         if key not in rows.columns and "." not in key:
             rows = rows.withColumn(key, F.col(EXTID))

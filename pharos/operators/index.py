@@ -92,30 +92,59 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
     return tokens.select("word", "doc_id").distinct().groupBy("word").agg(F.count("*").alias("df"))
 
 
+def prefixes(words: DataFrame, least: int = 100, longest: int = 4) -> DataFrame:
+    """(prefix, word): the prefixes of up to ``longest`` bytes that at least ``least`` of the distinct
+    ``words`` share, with these words."""
+    each = words.select("word", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word")))).alias("k")).select("word", F.expr("left(word, k)").alias("prefix")).where(F.octet_length("prefix") <= longest)
+    common = each.groupBy("prefix").agg(F.count("*").alias("words")).where(F.col("words") >= least)
+    return each.join(common, "prefix").select("prefix", "word")
+
+
 def prefix_postings(tokens: DataFrame, least: int = 100, longest: int = 4) -> DataFrame:
-    """Documents of the prefixes (up to ``longest`` characters) that at least ``least`` words share."""
-    words = tokens.select("word").distinct()
-    prefixes = words.select("word", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word")))).alias("k")).select("word", F.expr("left(word, k)").alias("prefix"))
-    common = prefixes.groupBy("prefix").agg(F.count("*").alias("words")).where(F.col("words") >= least)
-    pairs = prefixes.join(common, "prefix").select("prefix", "word")
+    """(prefix, doc_id) of the common prefixes."""
+    pairs = prefixes(tokens.select("word").distinct(), least, longest)
     return tokens.select("word", "doc_id").distinct().join(pairs, "word").select("prefix", "doc_id").distinct()
 
 
+def prefix_positions(tokens: DataFrame, least: int = 100, longest: int = 4) -> DataFrame:
+    """(prefix, fid, pos, doc_id): where words of a common prefix stand."""
+    pairs = prefixes(tokens.select("word").distinct(), least, longest)
+    return tokens.select("word", "fid", "pos", "doc_id").join(pairs, "word").select("prefix", "fid", "pos", "doc_id").distinct()
+
+
+def prefix_pairs(pairs: DataFrame, words: DataFrame, least: int = 100, longest: int = 4, forward: bool = True) -> DataFrame:
+    """``word_pairs`` with the second word (or, not ``forward``, the first) by its common prefixes:
+    (word, prefix, prox, doc_id), least distances."""
+    known, other = ("w1", "w2") if forward else ("w2", "w1")
+    common = prefixes(words.select("word"), least, longest).withColumnRenamed("word", other)
+    return pairs.join(common, other).groupBy(F.col(known).alias("word"), "prefix", "doc_id").agg(F.min("prox").alias("prox"))
+
+
+def geo_points(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(doc_id, lat, lng) of the documents that have a point."""
+    if "_geo" not in df.columns:
+        return df.where("false").select(F.col(key).alias("doc_id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"))
+    number = lambda f: F.expr(f"try_cast(_geo.{f} as double)").alias(f)
+    return df.select(F.col(key).alias("doc_id"), number("lat"), number("lng")).where("lat is not null and lng is not null")
+
+
 def field_len(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("doc_id", "fid").agg((F.max("pos") + 1).alias("n"))
 
 
 def word_pairs(tokens: DataFrame) -> DataFrame:
-    """Pairs come from each word's next few occurrences: the array of the words up to seven positions on
-    is a window frame, so a document is shuffled once and nothing is joined."""
-    ahead = Window.partitionBy("doc_id", "fid").orderBy("pos").rangeBetween(1, MAX_DISTANCE)
-    near = F.collect_list(F.struct("pos", "word")).over(ahead)
+    """Pairs come from each word's next seven rows, which hold all up to seven positions on. One shuffle, by
+    document, serves the window and the aggregation; nothing is joined."""
+    line = Window.partitionBy("doc_id", "fid").orderBy("pos")
+    ahead = F.array(*[F.struct(F.lead("word", k).over(line).alias("word"), (F.lead("pos", k).over(line) - F.col("pos")).alias("prox")) for k in range(1, MAX_DISTANCE + 1)])
     return (
-        tokens.withColumn("near", near)
-        .select("doc_id", "pos", F.col("word").alias("w1"), F.explode("near").alias("n"))
+        tokens.select("doc_id", "fid", "pos", "word").repartition("doc_id")
+        .select("doc_id", F.col("word").alias("w1"), ahead.alias("n"))
+        .select("doc_id", "w1", F.explode("n").alias("n"))
+        .where(F.col("n.prox") <= MAX_DISTANCE)
         .groupBy("w1", F.col("n.word").alias("w2"), "doc_id")
-        .agg(F.min(F.col("n.pos") - F.col("pos")).alias("prox"))
-    )
+        .agg(F.min("n.prox").alias("prox"))
+    )
 
 
 def _leaves(kind: T.DataType, path: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], T.DataType]]:

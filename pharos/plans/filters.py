@@ -300,6 +300,8 @@ def _compile(node, df, present, strict) -> Column:
         box = F.col("_geo.lat").between(node.lat - reach, node.lat + reach)
         return F.coalesce(box & (d <= node.metres + 1e-6), F.lit(False)) if strict else box & (d <= node.metres + 1e-6)
     column, kind = _column(df, node.field)
+    if column is None and (document := _document(df)) is not None:
+        return _compile_variant(node, document)
     if column is None:
         return F.lit(False) if not isinstance(node, Condition) or node.op != "!=" else F.lit(True)
     if isinstance(node, In):
@@ -323,6 +325,51 @@ def _compile(node, df, present, strict) -> Column:
     return _any(column, kind, lambda x, t: test(_number(x, t)) if _number(x, t) is not None else F.lit(False), strict)
 
 
+def _document(df: DataFrame) -> Column | None:
+    """The column of schemaless documents: the only VARIANT of ``df``."""
+    found = [f.name for f in df.schema.fields if isinstance(f.dataType, T.VariantType)]
+    return F.col(f"`{found[0]}`") if len(found) == 1 else None
+
+
+def _compile_variant(node, document: Column) -> Column:
+    """A condition on a field of a schemaless document. Here an absent field is told from a null one: a
+    field EXISTS if it's there, whatever its value. Paths go through objects; arrays match by any element."""
+    path = "$" + "".join(f"['{p}']" for p in node.field.replace("'", "\\'").split("."))
+    value = F.try_variant_get(document, path, "variant")
+    if isinstance(node, Condition) and node.op == "EXISTS":
+        return value.isNotNull()
+    array = F.schema_of_variant(value).startswith("ARRAY")
+    values = F.coalesce(F.when(array, F.try_variant_get(value, "$", "array<variant>")), F.array(value))
+
+    def any_of(test) -> Column:
+        return F.coalesce(F.exists(values, lambda x: F.coalesce(test(x), F.lit(False))), F.lit(False))
+
+    def number(x: Column) -> Column:
+        return F.when(F.schema_of_variant(x).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(x, "$", "double"))
+
+    def equals(text: str):
+        n = _finite(text)
+        same = lambda x: F.lower(F.trim(F.try_variant_get(x, "$", "string"))) == text.lower()
+        return (lambda x: same(x) | F.coalesce(number(x) == n, F.lit(False))) if n is not None else same
+
+    if isinstance(node, In):
+        total = F.lit(False)
+        for v in node.values:
+            total = total | any_of(equals(v))
+        return total
+    if node.op in ("=", "!="):
+        found = any_of(equals(node.args[0]))
+        return found if node.op == "=" else ~found
+    numbers = [_finite(a) for a in node.args]
+    if None in numbers:
+        raise FilterError(f"`{node.args[numbers.index(None)]}` isn't a number; {node.op} compares numbers")
+    test = {
+        "<": lambda x: x < numbers[0], "<=": lambda x: x <= numbers[0], ">": lambda x: x > numbers[0], ">=": lambda x: x >= numbers[0],
+        "TO": lambda x: x.between(numbers[0], numbers[-1]),
+    }[node.op]
+    return any_of(lambda x: test(number(x)))
+
+
 def _column(df: DataFrame, name: str):
     kind: T.DataType = df.schema
     for part in name.split("."):

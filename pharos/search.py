@@ -233,8 +233,18 @@ class Search:
         return page.join(F.broadcast(ranked), ix.key).orderBy("_place").select(ix.key, *rest)  # a page: bounded by PAGE
 
     def count(self) -> int:
-        """Exact number of hits (before distinct)."""
-        return self.candidates().count()
+        """Exact number of hits, however many a page shows; of a distinct attribute of single values, each
+        value counts once (hits that share array values depend on the order: they count each)."""
+        hits = self.candidates()
+        on = self.distinct_on or self.index.settings.distinct
+        if on is None:
+            return hits.count()
+        column, kind = filters._column(hits, on)
+        if column is None:
+            return 0
+        if isinstance(kind, T.ArrayType):
+            return hits.count()
+        return hits.agg(F.count_distinct(column) + F.count_if(column.isNull())).first()[0]
 
     def documents(self) -> DataFrame:
         """The page with the displayed attributes only."""

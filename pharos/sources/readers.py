@@ -40,8 +40,9 @@ def typed_header(header: str) -> tuple[str, str]:
 
 
 def typed_csv(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
-    """CSV whose header types its columns. Empty values are null; numbers are doubles (whole ones keep
-    their value); a value that isn't a number is an error, raised before anything is returned."""
+    """CSV whose header types its columns. Empty values are null; a number column of whole numbers is of
+    longs, another of doubles (unchecked: always doubles); a value that isn't a number is an error that
+    names an example and its file, raised before anything is returned."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
     out, bad = [], []
     for c in raw.columns:
@@ -51,15 +52,19 @@ def typed_csv(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
         if kind == "number":
             number = F.expr(f"try_cast(trim(`{c}`) as double)")
             plain = F.trim(v).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-            bad.append(F.count_if(empty.isNotNull() & ~plain).alias(name))
-            out.append(F.when(plain, number).alias(name))
+            wrong = empty.isNotNull() & ~plain
+            whole = F.expr(f"try_cast(trim(`{c}`) as bigint)")
+            bad.append(F.struct(F.count_if(wrong).alias("n"), F.min(F.when(wrong, F.struct(F.col("_metadata.file_path").alias("file"), v.alias("value")))).alias("first"), F.bool_and(empty.isNull() | whole.isNotNull() & ~F.trim(v).contains(".")).alias("whole")).alias(name))
+            out.append((name, F.when(plain, number), F.when(plain, whole)))
         else:
-            out.append(empty.alias(name))
+            out.append((name, empty, None))
+    whole = set()
     if check and bad:
-        counts = raw.agg(*bad).first().asDict()
-        if wrong := {k: n for k, n in counts.items() if n}:
-            raise SourceError(f"values that aren't numbers: {wrong}")
-    return raw.select(*out)
+        found = raw.agg(*bad).first().asDict()
+        if wrong := {k: r for k, r in found.items() if r["n"]}:
+            raise SourceError("; ".join(f"{r['n']} values of `{k}` aren't numbers, such as {r['first']['value']!r} in {r['first']['file']}" for k, r in wrong.items()))
+        whole = {k for k, r in found.items() if r["whole"]}
+    return raw.select(*((integer if name in whole else column).alias(name) for name, column, integer in out))
 
 
 def needs_flattening(schema: T.StructType) -> bool:

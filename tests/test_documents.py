@@ -65,8 +65,11 @@ def test_typed_csv(spark, tmp_path):
     f.write_text('id:number,field:string,a:b\n1,"x, ""y""",u\n2.5,,\n')
     got = [tuple(r) for r in rd.typed_csv(spark, str(f)).orderBy("id").collect()]
     assert got == [(1.0, 'x, "y"', "u"), (2.5, None, None)]
+    f.write_text("id:number,n:number\n1,1.0\n-7,3\n")
+    whole = rd.typed_csv(spark, str(f))
+    assert dict(whole.dtypes) == {"id": "bigint", "n": "double"} and sorted(tuple(r) for r in whole.collect()) == [(-7, 3.0), (1, 1.0)]
     f.write_text("id:number\n12d\n")
-    with pytest.raises(rd.SourceError):
+    with pytest.raises(rd.SourceError, match="12d.*a.csv"):
         rd.typed_csv(spark, str(f))
     assert rd.typed_header("a:b:number") == ("a:b", "number") and rd.typed_header("a:b") == ("a:b", "string")
 
