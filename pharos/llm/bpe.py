@@ -37,7 +37,7 @@ from pharos.runtime import ship, table
 
 TOKENIZERS = "/opt/tokenizers"
 #: Bytes of distinct pieces in one recursive query.
-CHUNK = 64_000
+CHUNK = 150_000
 #: What a Python worker's memo and its database may hold.
 MEMO_BYTES, DATABASE_MB = 48 << 20, 160
 
@@ -175,9 +175,11 @@ class Recursive:
         return [k for k, p in meet.items() if not self.fit[p]]
 
     def _contract(self, query: str, found: list[bytes]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
+        out: list = [None] * len(found)
         size = np.array([len(x) for x in found], np.int64)
         self.db.execute(f"SET memory_limit = '{DATABASE_MB + int(size.max()) * 400 // 10**6}MB'")  # one longest text must fit
+        order = np.argsort(size, kind="stable")  # pieces of one length end in about the same round
+        found, size = [found[i] for i in order.tolist()], size[order]
         part = np.cumsum(size) // self.chunk
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(found)]))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -187,7 +189,8 @@ class Recursive:
             pos = (np.arange(len(raw)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
             self._table("start", pa.table({"w": w, "pos": pos, "tok": self.byte[raw]}))
             got = self.db.execute(query).fetchnumpy()
-            out += np.split(np.asarray(got["tok"], np.int32), np.searchsorted(got["w"], np.arange(1, b - a)))
+            for i, tokens in zip(order[a:b].tolist(), np.split(np.asarray(got["tok"], np.int32), np.searchsorted(got["w"], np.arange(1, b - a))), strict=True):
+                out[i] = tokens
         return out
 
     def decode(self, rows: np.ndarray, tokens: np.ndarray, n: int) -> list[bytes]:

@@ -76,14 +76,15 @@ def pieces(texts: list[str | None]) -> Pieces:
     return p
 
 
-#: Bytes of a piece in the memo besides its tokens: two integers, their place in the dictionary and in two arrays.
-ENTRY = 150
+#: Bytes of a piece in the memo besides its tokens: two hashes, the place and the number of its tokens.
+ENTRY = 28
 
 
 class Memo:
     """Encoded pieces of one task: each distinct piece is encoded once, until about ``limit`` bytes are held.
 
-    ``encode`` takes a list of distinct pieces (bytes) and gives one list of token ids for each.
+    ``encode`` takes a list of distinct pieces (bytes) and gives one list of token ids for each. Pieces
+    are kept as arrays in the order of their hashes, a few dozen bytes each.
     """
 
     def __init__(self, encode: Callable[[list[bytes]], list], limit: int = 64 << 20):
@@ -91,37 +92,40 @@ class Memo:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.check = np.zeros(0, np.uint64)
-        self.start = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.hash = self.check = np.zeros(0, np.uint64)
+        self.start = np.zeros(0, np.int64)
+        self.size = self.flat = np.zeros(0, np.int32)
+
+    def held(self) -> int:
+        return len(self.hash) * ENTRY + 4 * len(self.flat)
 
     def tokens(self, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of all pieces in order, number of tokens of each piece)."""
-        if len(self.at) * ENTRY + 4 * len(self.flat) > self.limit:
+        if self.held() > self.limit:
             self.clear()
         uniq, first, back = np.unique(p.hash, return_index=True, return_inverse=True)
-        at = self.at
-        place = np.array([at.get(h, -1) for h in uniq.tolist()], np.int64)
-        new = np.flatnonzero(place < 0)
+        at = np.searchsorted(self.hash, uniq)
+        known = np.zeros(len(uniq), bool)
+        inside = at < len(self.hash)
+        known[inside] = self.hash[at[inside]] == uniq[inside]
+        new = np.flatnonzero(~known)
         if len(new):
             f = first[new]
             raw = p.buf.tobytes()
             ids = self.encode([raw[a:b] for a, b in zip(p.start[f].tolist(), p.end[f].tolist(), strict=True)])
-            lens = np.array([len(x) for x in ids], np.int64)
-            base = len(self.check)
-            place[new] = base + np.arange(len(new))
-            at.update(zip(uniq[new].tolist(), range(base, base + len(new)), strict=True))
-            self.check = np.concatenate((self.check, p.check[f]))
-            self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(lens)))
-            self.flat = np.concatenate((self.flat, np.concatenate([np.asarray(x, np.int32) for x in ids])))
-        at_piece = place[back]
-        if (self.check[at_piece] != p.check).any():
+            lens = np.array([len(x) for x in ids], np.int32)
+            where = at[new]
+            self.hash, self.check = np.insert(self.hash, where, uniq[new]), np.insert(self.check, where, p.check[f])
+            self.start = np.insert(self.start, where, len(self.flat) + np.cumsum(lens, dtype=np.int64) - lens)
+            self.size = np.insert(self.size, where, lens)
+            self.flat = np.concatenate((self.flat, *(np.asarray(x, np.int32) for x in ids)))
+            at = np.searchsorted(self.hash, uniq)
+        place = at[back]
+        if (self.check[place] != p.check).any():
             raise AssertionError("two pieces of one hash")
-        a = self.start[at_piece]
-        n = self.start[at_piece + 1] - a
+        n = self.size[place].astype(np.int64)
         off = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        return self.flat[np.repeat(a, n) + off], n
+        return self.flat[np.repeat(self.start[place], n) + off], n
 
 
 def by_doc(p: Pieces, counts: np.ndarray, rows: int) -> np.ndarray:

@@ -97,7 +97,7 @@ def test_memo_is_bounded_by_bytes():
     memo = pieces.Memo(lambda found: (calls.append(len(found)), [[len(x)] for x in found])[1], limit=10 * pieces.ENTRY)
     for i in range(6):
         tokens, n = memo.tokens(pieces.pieces([" ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(8))]))
-        assert len(n) == 8 and len(memo.at) <= 19
+        assert len(n) == 8 and memo.held() <= 19 * (pieces.ENTRY + 4)
     assert sum(calls) == 48
 
 
