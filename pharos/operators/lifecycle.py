@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pharos.runtime import materialise
+
 VALID_ID = "^[a-zA-Z0-9_-]+$"
 
 
@@ -122,12 +124,16 @@ def allocate(used: DataFrame, new: DataFrame, order: str, column: str = "doc_id"
 
 
 def number(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Rows numbered from 0 by ``order``: a range partitioning, then offsets of the partitions."""
+    """Rows numbered from 0 by ``order``: a range partitioning, then offsets of the partitions.
+
+    The partitions are written once: were they counted in one run and numbered in another, the two could
+    differ, since bounds are sampled and partitions joined by the size of what each run carries.
+    """
     part = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    part = part.withColumn("_k", F.col("_i") - F.shiftleft(F.col("_p").cast("long"), 33))
+    part = materialise(part.withColumn("_k", F.col("_i") - F.shiftleft(F.col("_p").cast("long"), 33)).drop("_i"))
     sizes = part.groupBy("_p").agg(F.count("*").alias("_c"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return part.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn(name, F.col("_before") + F.col("_k")).drop("_p", "_i", "_k", "_before")  # a row a partition
+    return part.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn(name, F.col("_before") + F.col("_k")).drop("_p", "_k", "_before")  # a row a partition
 
 
 def delete(current: DataFrame, ids: DataFrame, key: str = "ext_id") -> DataFrame:

@@ -5,6 +5,7 @@ from pharos.functions import formatting as fm
 from pharos.indexing import StoredIndex
 from pharos.operators import lifecycle as lc
 from pharos.plans.query import Planner, primitive
+from pharos.runtime import materialise
 from pharos.sources import readers as rd
 from pharos.streaming.ingest import ingest
 
@@ -45,6 +46,13 @@ def test_allocation(spark):
     assert {r.doc_id for r in lc.allocate(used.where("false"), new, "k").collect()} == {0, 1, 2, 3, 4}
 
 
+def test_numbering_of_more_rows_than_are_sampled(spark):
+    """Bounds are sampled and partitions joined by size: rows counted and rows numbered must be of one run."""
+    df = spark.range(0, 400_000, 1, 4).select(F.col("id").cast("string").alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 3).alias("pay"))
+    got = materialise(lc.number(df, "k", "n"))
+    assert got.agg(F.count("*"), F.count_distinct("n"), F.min("n"), F.max("n")).first()[:] == (400_000, 400_000, 0, 399_999)
+
+
 def test_store(spark, tmp_path):
     store = lc.Store(spark, str(tmp_path / "s"))
     assert store.version() is None
