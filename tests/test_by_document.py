@@ -109,3 +109,16 @@ def test_no_documents(spark):
         assert df.count() == 0
     one = Index(spark.createDataFrame([(None, "red fox"), ("a", "...")], "doc_id string, text string"))
     assert I.word_pairs(one.lines).count() == 0 and rows(I.postings(one.lines).select("word", "doc_id")) == [("fox", None), ("red", None)]
+
+
+def test_typos_are_sought_among_few_words(made):
+    """The filter on the words goes below the vocabulary's aggregation, with the same words found."""
+    from pharos.plans.derive import misspelt, typos
+
+    ix, tokens = made
+    leaves = [(0, "abcdx", False, 1), (1, "bbcde", True, 2)]
+    df = misspelt(ix.vocabulary, leaves)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("levenshtein", plan.rindex("Aggregate")) > 0
+    words = {w for *_, w in tokens}
+    assert rows(df) == sorted(((n, w, t) for n, q, p, b in leaves for w in words if (t := typos(q, w, p, b))), key=repr)
